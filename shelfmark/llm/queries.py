@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import chat_format, decontaminate, jaccard_join, line_dedup, packing, quality_rules, url_filter
+from shelfmark.llm import chat_format, decontaminate, jaccard_join, licenses, line_dedup, packing, pii, quality_model, quality_rules, url_filter
 from shelfmark.sources.tables import table
 
 
@@ -24,6 +24,14 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score(table(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents"))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.score(table(spark, sf_dir, "documents"))
+
+
 #: A conversation that says the template's own words.
 SAID = r"\### Assistant: </turn> ok"
 
@@ -54,11 +62,29 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_url_filters, op3_quality_rules, op6_chat_formatting, op7_benchmark_decontamination, op8_ngram_jaccard_join, op10_best_fit_packing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_line_dedup,
+        op2_url_filters,
+        op3_quality_rules,
+        op4_pii,
+        op5_quality_classifier,
+        op6_chat_formatting,
+        op7_benchmark_decontamination,
+        op8_ngram_jaccard_join,
+        op9_license_scans,
+        op10_best_fit_packing,
+    )
+}
 
 SQL: dict[str, str] = {}
 
