@@ -151,7 +151,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = clusters.join(sizes, "component").select(F.col("id").alias("k"), F.col("component").alias("cluster"), "blocks")
     wanted = cut(members.join(classes.select("k", "copies", "first_id"), "k"), "wanted")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sets = _gram_sets(texts.join(wanted, texts.doc_id.eqNullSafe(wanted.first_id)), n)
+    # merged at every size: the plan of a small run is then that of a large one
+    sets = _gram_sets(texts.join(wanted.hint("merge"), texts.doc_id.eqNullSafe(wanted.first_id)), n)
 
     own = F.pmod(F.xxhash64("k"), F.col("blocks"))
     dealt = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
