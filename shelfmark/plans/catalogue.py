@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from shelfmark.plans import duplicates
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**duplicates.QUERIES}
+SQL: dict[str, str] = {**duplicates.SQL}
