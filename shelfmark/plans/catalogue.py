@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.plans import duplicates, labels
+from shelfmark.plans import classify, duplicates, labels
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**duplicates.QUERIES, **labels.QUERIES}
-SQL: dict[str, str] = {**duplicates.SQL, **labels.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**duplicates.QUERIES, **labels.QUERIES, **classify.QUERIES}
+SQL: dict[str, str] = {**duplicates.SQL, **labels.SQL, **classify.SQL}
