@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.plans import classify, duplicates, labels, runs
+from shelfmark.plans import classify, duplicates, labels, runs, streams
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**duplicates.QUERIES, **labels.QUERIES, **classify.QUERIES, **runs.QUERIES}
-SQL: dict[str, str] = {**duplicates.SQL, **labels.SQL, **classify.SQL, **runs.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**duplicates.QUERIES, **labels.QUERIES, **classify.QUERIES, **runs.QUERIES, **streams.QUERIES}
+SQL: dict[str, str] = {**duplicates.SQL, **labels.SQL, **classify.SQL, **runs.SQL, **streams.SQL}
