@@ -90,7 +90,7 @@ OTHERS = (
 #: A paragraph without any of these cannot name a licence and is not classified.
 ANCHOR = re.compile(r"licen[sc]|copyright|permission|redistribut|reserved|public domain|creative ?commons|warrant|waived|free software|source code|compiled binary|©", re.IGNORECASE)
 _WORD = re.compile(r"[a-z]+(?:-[a-z]+)*|\d+(?:\.\d+)*")
-_END = re.compile(r"[.:;!?]\s*$")
+_END = re.compile(r"[.:!?]\s*$")
 
 
 def grams(text: str) -> Counter:

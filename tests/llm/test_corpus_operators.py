@@ -1,0 +1,541 @@
+"""Each corpus operator against a brute-force version, and on awkward inputs."""
+
+import collections
+import hashlib
+import os
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from shelfmark.llm import chat_format, decontaminate, jaccard_join, licenses, line_dedup, packing, pii, quality_model, quality_rules, queries, url_filter
+from shelfmark.llm.shingles import WordHashes, choose_bands, ngram_set
+from shelfmark.llm.tokens import encoder, resolve
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, k long, host string"
+RNG = random.Random(8)
+WORDS = ["".join(RNG.choice("abcdefgh") for _ in range(RNG.randrange(2, 8))) for _ in range(400)]
+
+
+def prose(n, seed):
+    rng = random.Random(seed)
+    return " ".join(rng.choice(WORDS) for _ in range(n))
+
+
+def docs(spark, texts, ids=None, sources=None):
+    rows = [(ids[i] if ids else i, t, "en", sources[i] if sources else "s", len(t or ""), True, 5, "h") for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+AWKWARD = [None, "", "   \n\t", "one", prose(300, 1), prose(300, 1), prose(30_000, 2), "\x1c word é\U0001f600", "x" * 100_000, "a\nb\na\n\n"]
+
+
+# --- 1 line deduplication
+
+
+def brute_lines(rows, ratio, least, most_of_page):
+    hosts = collections.defaultdict(list)
+    for i, (source, text) in enumerate(rows):
+        hosts[source or ""].append(i)
+    key = lambda line: line.replace("\t", " ").replace("\r", " ").strip(" ")
+    split = [(t or "").split("\n") for _, t in rows]
+    out = {}
+    for pages in hosts.values():
+        n = collections.Counter(k for i in pages for k in {key(x) for x in split[i] if x.strip(" ")})
+        bad = {k for k, c in n.items() if c >= least and c > ratio * len(pages)}
+        for i in pages:
+            left = "\n".join(x for x in split[i] if not (x.strip(" ") and key(x) in bad))
+            dropped = sum(1 for x in split[i] if x.strip(" ") and key(x) in bad)
+            text = rows[i][1]
+            copied = text is not None and dropped > 0 and len(left) < (1 - most_of_page) * len(text)
+            out[i] = (text if copied or not dropped else left, 0 if copied else dropped, copied)
+    return out
+
+
+@pytest.mark.parametrize("limit", [20_000, 0])
+def test_lines(spark, limit):
+    rng = random.Random(3)
+    menu = ["Home | About", "  Home | About\t", "Terms", "rare line"]
+    rows = [(rng.choice(["a", "b", None]), "\n".join([rng.choice(menu), prose(12, i), rng.choice(menu), ""])) for i in range(60)]
+    rows += [("a", None), ("a", ""), ("c", "Terms\nHome | About"), *[("d", "Terms\nx")] * 8]
+    frame = docs(spark, [t for _, t in rows], sources=[s for s, _ in rows])
+    got = {r.doc_id: (r.text, r.line_dedup.n_dropped, r.line_dedup.copied) for r in line_dedup.drop_lines(frame, ratio=0.2, min_pages=3, broadcast_lines=limit).collect()}
+    assert got == brute_lines(rows, 0.2, 3, line_dedup.MOST_OF_PAGE)
+
+
+def test_lines_awkward(spark):
+    out = line_dedup.drop_lines(docs(spark, AWKWARD))
+    assert out.columns == [*docs(spark, AWKWARD).columns, "line_dedup"]
+    assert {r.doc_id: r.text for r in out.collect()} == dict(enumerate(AWKWARD))
+    assert line_dedup.drop_lines(docs(spark, [])).count() == 0
+
+
+# --- 2 URL rules
+
+
+def test_automaton_is_the_glob(spark):
+    globs = ("*.com/en/**", "a?b*", "**x/**y", "*", "**", "\\*a**", "a*b*c", "", "??", "*.a.*/b*", "*" + "ab" * 70)
+    automaton = url_filter.Automaton(tuple(url_filter.Rule(g, "block", g) for g in globs))
+    assert automaton.words > 2
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("ab./cx*y") for _ in range(rng.randrange(9))) for _ in range(1500)] + ["ab" * 70, "x" + "ab" * 70, "ab" * 69]
+    regex = [re.compile(queries._as_regex(r.glob)[1:-1], re.S) for r in automaton.rules]
+    assert automaton.match([t.encode() for t in texts]).tolist() == [next((i for i, r in enumerate(regex) if r.fullmatch(t)), -1) for t in texts]
+
+
+URLS = {
+    "https://example.com/en/7#x": ("example.com", "/en/7", "example.com/en/7", "allow"),
+    "HTTP://A.EXAMPLE.NET/de/81?q": ("a.example.net", "/de/81", "example.net/de/8", "block"),
+    "http://com/en/": ("com", "/en/", "com/en/", "block"),
+    "http://notexample.com/en/7": ("notexample.com", "/en/7", "com/en/", "block"),
+    "http://evil.net/x.com/en/1": ("evil.net", "/x.com/en/1", None, "allow"),
+    "http://h.org?u=http://x.org/es/1": ("h.org", "", None, "allow"),
+    "http://Ä.ORG/es/": ("Ä.org", "/es/", "org/es/", "block"),
+    "http://www.cheap-pills.example.com/fr": ("www.cheap-pills.example.com", "/fr", None, "block"),
+    "no scheme.com/en/": ("", "", None, "allow"),
+    "": ("", "", None, "allow"),
+    None: ("", "", None, "allow"),
+    "http://com/en/" + "z" * 50_000: ("com", "/en/" + "z" * 50_000, "com/en/", "block"),
+}
+
+
+def test_urls(spark):
+    rows = list(enumerate(URLS)) * 2 + [(None, "http://com/en/")]
+    got = url_filter.judge(spark.createDataFrame([(i, u, "x") for i, u in rows], "page_id long, url string, host string")).collect()
+    assert len(got) == len(rows)
+    assert {(r.page_id, r.host, r.path, r.rule, r.verdict) for r in got} == {(i, *URLS[u]) for i, u in rows}
+    assert url_filter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+# --- 3 quality rules
+
+
+def brute_measure(text):
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    dup = [x for i, x in enumerate(lines) if x in lines[:i]]
+
+    def inside(n):
+        grams = [tuple(words[i : i + n]) for i in range(len(words) - n + 1)]
+        many = collections.Counter(grams)
+        return {i + j for i, g in enumerate(grams) if many[g] > 1 for j in range(n)}
+
+    chars = lambda at: sum(len(words[i]) for i in at)
+    return (
+        len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(dup), len(inside(3)),
+        sum(len(re.sub(r"[\x20\x09-\x0D]", "", x)) for x in dup), *(chars(inside(n)) for n in quality_rules.MOST_COVERED),
+    )
+
+
+def test_quality_measures_are_brute_force(spark):
+    repeated = "\n".join([prose(30, 5)] * 3 + ["* " * 20, prose(60, 6), prose(4, 7), prose(4, 7), "\x85\xa0nbsp words", " \t", " \t"])
+    texts = [t for t in AWKWARD if len(t or "") < 50_000] + [repeated, "a b c a b c a b c"]
+    for t in texts:
+        assert quality_rules.measure(t) == brute_measure(t)
+    got = {r.doc_id: r for r in quality_rules.score(docs(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        m = brute_measure(t)
+        assert tuple(got[i][f] for f in quality_rules.FIELDS) == m
+        assert got[i].base_failed == (m[0] < 50 or 100 * m[4] > 50 * m[0])
+        assert not (got[i].base_failed and got[i].kept)
+    assert quality_rules.score(docs(spark, [])).count() == 0
+
+
+def test_quality_keeps_prose_and_drops_junk(spark):
+    frame = docs(spark, [prose(200, 9), " ".join(w + "***" for w in prose(200, 9).split()), "\n".join([prose(12, 3)] * 20), prose(20, 1)])
+    assert [r.doc_id for r in quality_rules.keep_good(frame).collect()] == [0]
+
+
+# --- 4 pseudonyms
+
+
+def test_feistel_is_a_permutation():
+    for size in (1, 2, 7, 1000):
+        f = pii.Feistel(b"k", "x", size)
+        assert sorted(map(f.permute, range(size))) == list(range(size))
+        assert all(f.restore(f.permute(x)) == x for x in range(size))
+    assert [pii.Feistel(b"a", "x", 1000).permute(x) for x in range(9)] != [pii.Feistel(b"b", "x", 1000).permute(x) for x in range(9)]
+
+
+PRIVATE = {
+    "email": ["mail tom.rees+x@mail.example.com now", "a@b.example"],
+    "phone": ["+1 (487) 555-7209!!", "487-555-7209", "+44 20 7946 0958"],
+    "card": ["4952935900253052.", "4952 9359 0025 3052", "0007687199101959" if pii.luhn_digit("000768719910195") == 9 else "4952-9359-0025-3052"],
+    "ipv4": ["169.122.221.182!!"],
+    "ssn": ["078-05-1120"],
+    "iban": ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"],
+    "date": ["1999-02-28", "31.12.2001", "3/4/1987"],
+    "secret": ['token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"'],
+}
+
+
+@pytest.mark.parametrize("kind", pii.KINDS)
+def test_private_values_keep_their_format_and_can_be_restored(kind):
+    names, back = pii.Pseudonyms(pii.KEY), pii.Pseudonyms(pii.KEY, undo=True)
+    for text in PRIVATE[kind]:
+        new, spans = pii.redact(text, names)
+        assert [s[0] for s in spans] == [kind] and new != text
+        assert re.sub(r"\d", "9", re.sub(r"[a-z]", "a", new)) == re.sub(r"\d", "9", re.sub(r"[a-z]", "a", text)) or kind in ("ipv4", "secret", "date", "iban")
+        assert [s[0] for s in pii.redact(new, names)[1]] == [kind]
+        assert pii.redact(new, back)[0] == text
+
+
+def test_equal_values_stay_linked_and_invalid_ones_stay():
+    names = pii.Pseudonyms(pii.KEY)
+    digits = lambda t: re.sub(r"\D", "", pii.redact(t, names)[0])
+    assert digits("4952935900253052") == digits("pay 4952 9359 0025 3052 now")
+    assert digits("+1 (487) 555-7209")[1:] == digits("487-555-7209")
+    for text in ("4952935900253053", "999.1.2.3", "2001-02-30", "000-12-3456", "version 1.2.3.4.5", "12:30 and 5.3", "DE88 3704 0044 0532 0130 00"):
+        assert pii.redact(text, names) == (text, [])
+
+
+def test_pseudonyms_awkward(spark):
+    got = {r.doc_id: (r.text, r.n_replaced) for r in pii.pseudonymise(docs(spark, AWKWARD)).collect()}
+    assert got == {i: (t, 0) for i, t in enumerate(AWKWARD)}
+    assert pii.pseudonymise(docs(spark, [])).count() == 0
+
+
+# --- 5 quality classifier
+
+
+def test_expectation_maximisation_finds_accuracies():
+    rng = np.random.default_rng(5)
+    truth = rng.random(20_000) < 0.7
+    right = [0.95, 0.9, 0.8, 0.7, 0.6]
+    cast = np.stack([np.where(rng.random(len(truth)) < 0.2, 0, np.where((rng.random(len(truth)) < a) == truth, 2, 1)) for a in right], 1)
+    counts = collections.Counter((cast * 3 ** np.arange(5)).sum(1).tolist())
+    posterior, table, share = quality_model.estimate(counts, labellers=5)
+    assert abs(share - 0.7) < 0.03
+    found = [(table[1, k, 2] + table[0, k, 1]) / 2 / 0.8 for k in range(5)]
+    assert np.allclose(found, right, atol=0.03)
+    assert np.mean([(posterior[p] > 0.5) == t for p, t in zip((cast * 3 ** np.arange(5)).sum(1).tolist(), truth)]) > 0.93
+
+
+def test_classifier_awkward(spark):
+    got = {r.doc_id: r for r in quality_model.score(docs(spark, AWKWARD)).collect()}
+    assert len(got) == len(AWKWARD) and got[0].score == got[1].score == 0.0 and not got[0].kept
+    assert quality_model.score(docs(spark, [])).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="supplied tables are not here")
+def test_classifier_on_held_out_labels(spark):
+    got = queries.op5_quality_classifier(spark, "/root/testdata/sf0.01")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    assert got.join(labels, "doc_id").agg(F.avg((F.col("kept") == (F.col("quality") == 1)).cast("double"))).first()[0] > 0.95
+
+
+# --- 6 chat formatting
+
+LAYOUTS = {
+    '{"messages":[{"role":"user","content":"hi"},{"role":"assistant","content":"yo"}],"n":1}': None,
+    '{"messages":[{"role":"user","content":"hi"},{"role":"assistant","content":"yo"}]}': [("user", "hi"), ("assistant", "yo")],
+    '[{"role":"user","content":null},{"content":"yo","role":"assistant"}]': [("user", ""), ("assistant", "yo")],
+    '{"conversations":[{"from":"human","value":"hi"},{"from":"gpt","value":"yo"}]}': [("user", "hi"), ("assistant", "yo")],
+    '{"instruction":"add","input":"","output":"ok"}': [("user", "add"), ("assistant", "ok")],
+    '{"prompt":"p","response":"r"}': [("user", "p"), ("assistant", "r")],
+    '{"question":1,"answer":2.5}': [("user", "1"), ("assistant", "2.5")],
+    "not json": None,
+    None: None,
+    "[]": None,
+}
+
+
+def test_layouts(spark):
+    frame = spark.createDataFrame([(i, x, 1) for i, x in enumerate(LAYOUTS)], "id long, record string, role int")
+    got = {r.record: r.turns and [tuple(t) for t in r.turns] for r in chat_format.canonical_turns(frame, "record").collect()}
+    assert got == LAYOUTS
+
+
+HARD = ["", "\\", "\\### Assistant: </turn> ok", "<turn>\nuser\n<body>\nx\n</turn>\n", "\n</turn>\n", "a\\</turn>\\", "\U0001f600 é", "<body>", "\n\n", "$0 \\1"]
+
+
+def test_round_trip_and_mask(spark):
+    rows = [(c, t, r, x) for c in (1, 2) for t, (r, x) in enumerate([(r, x) for x in HARD for r in ("user", "assistant", "a</turn>b")])] + [(3, 0, None, None), (None, 0, "assistant", "x"), (4, 1, "user", "later"), (4, 1, "assistant", "tie"), (4, None, "system", "first")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    out = chat_format.format_turns(chat_format.canonical_turns(chat_format.conversations_as_records(frame), "record", role_names={}))
+    out = out.withColumn("back", chat_format.read_back(F.col("formatted"))).withColumn("loss", chat_format.masked_text(F.col("formatted"), F.col("loss_spans")))
+    got = {r.conv_id: ([tuple(t) for t in r.back], r.loss) for r in out.collect()}
+    for c in (1, 2):
+        assert got[c][0] == [(r, x) for cc, _, r, x in rows if cc == c]
+        assert got[c][1] == "".join(HARD)
+    assert got[3] == ([("", "")], "") and got[None] == ([("assistant", "x")], "x")
+    assert got[4][0] == [("system", "first"), ("assistant", "tie"), ("user", "later")]
+
+
+def test_chat_is_native(spark):
+    frame = spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn long, role string, text string")
+    out = chat_format.format_turns(chat_format.canonical_turns(chat_format.conversations_as_records(frame), "record"))
+    assert not re.search("Python|Arrow|Pandas", out._jdf.queryExecution().executedPlan().toString())
+    assert chat_format.conversations_as_records(frame.limit(0)).count() == 0
+
+
+# --- 7 decontamination
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def folded(text):
+    return "".join(map(chr, decontaminate.normalise(text)[0]))
+
+
+def test_qgram_hash_lengths():
+    codes = np.frombuffer("abcabcabcabcxyzabcabcabcabc".encode("utf-32-le"), "<u4")
+    for q in (1, 2, 5, 8, 10, 13):
+        h = decontaminate.qgrams(codes, q).tolist()
+        text = "".join(map(chr, codes))
+        assert len(h) == len(codes) - q + 1
+        assert all((h[i] == h[j]) == (text[i : i + q] == text[j : j + q]) for i in range(len(h)) for j in range(len(h)))
+
+
+def test_passages_with_edits_are_found_and_measured(spark):
+    rng = random.Random(6)
+    items = [prose(rng.randrange(15, 50), 100 + i) for i in range(12)]
+    index = decontaminate.Index(list(enumerate(items)), decontaminate.Q, decontaminate.EDIT_RATE)
+    rows, wanted = [], set()
+    for z in range(60):
+        i = rng.randrange(12)
+        s = list(items[i].upper() if z % 3 == 0 else items[i].replace(" ", ",  ") if z % 3 == 1 else items[i])
+        budget = decontaminate.edit_budget(len(folded(items[i])), decontaminate.Q, decontaminate.EDIT_RATE)
+        for _ in range(rng.randint(0, budget) if z % 3 == 2 else 0):
+            p = rng.randrange(1, len(s) - 1)
+            s[p : p + 1] = rng.choice([["z"], [], [s[p], "q"]])
+        rows.append((z, f"{prose(rng.randrange(30), z)} {''.join(s)} {prose(20, -z)}"))
+        wanted.add((z, i))
+    rows += [(900 + k, prose(400, 900 + k)) for k in range(20)] + [(950, None), (951, ""), (952, items[0][: len(items[0]) // 2])]
+    found = decontaminate.search(index, rows)
+    assert {(d, i) for d, i, *_ in found} == wanted
+    texts = dict(rows)
+    for d, i, s, e, edits in found:
+        assert edit_distance(folded(texts[d][s:e]), folded(items[i])) == edits <= decontaminate.edit_budget(len(folded(items[i])), decontaminate.Q, decontaminate.EDIT_RATE)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    frame = docs(spark, [t for _, t in rows], ids=[d for d, _ in rows])
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find_passages(frame, bench).collect()} == wanted
+    clean = decontaminate.clean_documents(frame, bench)
+    assert {r.doc_id for r in clean.collect()} == {d for d, _ in rows} - {d for d, _ in wanted}
+
+
+def test_decontamination_awkward(spark):
+    bench = spark.createDataFrame([(1, None), (2, ""), (3, "short"), (4, prose(20, 1)), (4, prose(20, 1))], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find_passages(docs(spark, AWKWARD), bench).collect()} == {(4, 4), (5, 4)}
+    assert decontaminate.find_passages(docs(spark, AWKWARD), bench.limit(0)).count() == 0
+    assert decontaminate.find_passages(docs(spark, []), bench).count() == 0
+
+
+def test_benchmark_in_blocks_gives_the_same(spark, monkeypatch):
+    bench = spark.createDataFrame([(i, prose(20, i)) for i in range(6)], "item_id long, text string")
+    frame = docs(spark, [prose(20, i) + " end" for i in range(6)])
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 200)
+    assert len(list(decontaminate._blocks(bench, "item_id", "text"))) > 2
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find_passages(frame, bench).collect()} == {(i, i) for i in range(6)}
+
+
+# --- 8 Jaccard join
+
+
+def brute_links(texts):
+    hashes = WordHashes()
+    sets = [set(ngram_set(t, hashes).tolist()) for t in texts]
+    links, root = collections.Counter(), list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and len(a & sets[j]) >= 0.8 * len(a | sets[j]) - 1e-9:
+                links[i] += 1
+                links[j] += 1
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return {i: (find(i), links[i]) for i in range(len(texts))}
+
+
+def near_texts():
+    rng = random.Random(12)
+    out = []
+    for g in range(6):
+        base = prose(120, 50 + g).split()
+        for _ in range((3, 40, 5, 2, 1, 150)[g]):
+            words = list(base)
+            for _ in range(rng.randrange(0, 4)):
+                words[rng.randrange(len(words))] = rng.choice(WORDS)
+            out.append(" ".join(words))
+    rng.shuffle(out)
+    return out + [None, "", "!!", "Two words", "two, WORDS", "two words more"]
+
+
+def test_choose_bands():
+    for s, recall, most in ((0.8, 0.9995, 160), (0.5, 0.9, 300)):
+        b, r = choose_bands(s, recall, most)
+        assert b * r <= most and 1 - (1 - s**r) ** b >= recall
+
+
+@pytest.mark.parametrize("block", [64, 16])
+def test_near_duplicates_are_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    texts = near_texts()
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.near_duplicates(docs(spark, texts)).collect()}
+    assert got == brute_links(texts)
+
+
+def test_near_duplicates_awkward(spark):
+    texts = [prose(50, 1), prose(50, 1), prose(50, 1), None, "", prose(50, 2)]
+    got = jaccard_join.near_duplicates(docs(spark, texts, ids=[7, 7, None, 3, 3, None])).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(7, 7, 2), (7, 7, 2), (None, 7, 2), (3, 3, 0), (3, 3, 0), (None, None, 0)], key=str)
+    assert jaccard_join.near_duplicates(docs(spark, [])).count() == 0
+
+
+# --- 9 licences
+
+
+@pytest.fixture(scope="module")
+def model():
+    return licenses.Model()
+
+
+def test_licences_held_out_and_templates(model):
+    assert model.held_out_accuracy > 0.9
+    for family, templates in licenses.TEMPLATES.items():
+        for t in templates:
+            assert model.classify(t)[0] == family, t
+
+
+def test_licences_unknown_and_none(model):
+    assert model.classify("Distributed under the Frobnicate License v7, see its terms of use.")[0] == licenses.UNKNOWN
+    assert model.classify("The license plate was copied from the notice on the door.")[0] == licenses.NONE
+
+
+def test_paragraphs_join_wrapped_lines():
+    text = "Title\n\nPermission is hereby granted, free of charge, to any\nperson obtaining a copy of this software and associated documentation\nfiles.\nNext line.\n"
+    assert [text[s:e] for s, e in licenses.paragraphs(text)] == ["Title", text[7 : text.index("files.") + 6], "Next line."]
+
+
+def test_licence_scan_awkward(spark, model):
+    wrapped = "intro\n\nLicensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\n\n" + prose(50, 3)
+    rows = docs(spark, [*AWKWARD, wrapped, "x\nReleased under the MIT License.\ny"])
+    got = licenses.scan(rows, model=model).collect()
+    assert {(r.doc_id, r.family) for r in got} == {(len(AWKWARD), "Apache-2.0"), (len(AWKWARD) + 1, "MIT")}
+    assert [wrapped[r.start : r.end].split()[0] for r in got if r.doc_id == len(AWKWARD)] == ["Licensed"]
+    assert licenses.scan(docs(spark, []), model=model).count() == 0
+
+
+# --- 10 packing
+
+
+def test_fast_ids_are_the_library_ids():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(resolve(packing.VOCABULARY))
+    encode = encoder(packing.VOCABULARY)
+    for t in [x for x in AWKWARD if x and len(x) < 50_000] + ["it's  we'll\n\n x  \t y 1234 ***", " lead", "trail ", "　　z", "a\r\n b", "don't  stop", "กำ ١٢ ½"]:
+        assert encode(t).tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_plan_uses_every_piece_once(seed):
+    rng = np.random.default_rng(seed)
+    capacity = (16, 64, 1024)[seed % 3]
+    counts = np.bincount(rng.integers(1, capacity + 1, rng.integers(0, 5000)), minlength=capacity + 1)
+    if seed == 5:
+        counts[:] = 0
+    patterns = packing.plan(counts, capacity)
+    used = np.zeros(capacity + 1, int)
+    for lengths, times in patterns:
+        assert times > 0 and sum(n * k for n, k in lengths.items()) <= capacity
+        for n, k in lengths.items():
+            used[n] += k * times
+    assert (used == counts).all()
+    least = -(-int((counts * np.arange(capacity + 1)).sum()) // capacity)
+    assert sum(t for _, t in patterns) <= max(least + 2, 1.05 * least, int(counts[capacity // 2 + 1 :].sum()) + 1)
+
+
+def test_complements_by_brute_force():
+    rng = random.Random(2)
+    for _ in range(300):
+        avail = np.array([0] + [rng.choice([0, 0, 0, 1, 2]) for _ in range(20)])
+        gap = rng.randrange(1, 20)
+        sets = [c for c in [(a,) for a in range(1, 21)] + [(a, b) for a in range(1, 21) for b in range(1, a + 1)] + [(a, b, c) for a in range(1, 21) for b in range(1, a + 1) for c in range(1, b + 1)] if sum(c) == gap and all(avail[n] >= k for n, k in collections.Counter(c).items())]
+        found = packing._complement(avail, gap)
+        assert (found is None) == (not sets)
+        assert found is None or (sum(found) == gap and len(found) == min(map(len, sets)) and all(avail[n] >= k for n, k in collections.Counter(found).items()))
+
+
+def test_packing_whole(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANK_GROUP", 3)
+    texts = [*AWKWARD[:7], *[prose(n % 90, n) for n in range(200)], *["same words here"] * 40]
+    rows = packing.pack(docs(spark, texts)).collect()
+    encode = encoder(packing.VOCABULARY)
+    by_doc, by_sequence = collections.defaultdict(list), collections.defaultdict(list)
+    for r in rows:
+        by_doc[r.doc_id].append(r)
+        by_sequence[r.sequence_id].append(r)
+    for i, t in enumerate(texts):
+        ids = np.append(encode(t or ""), np.uint32(2)).astype("<u4")
+        parts = sorted(by_doc[i], key=lambda r: r.piece)
+        assert [r.piece for r in parts] == list(range(len(parts)))
+        assert [r.start for r in parts] == [sum(p.length for p in parts[:k]) for k in range(len(parts))]
+        assert sum(r.length for r in parts) == len(ids)
+        assert all(r.length == 1024 for r in parts[1:]) and (len(parts) == 1) == (len(ids) <= 1024)
+        assert all(zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32 for r in parts)
+    for parts in by_sequence.values():
+        at = 0
+        for r in sorted(parts, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 1024
+    assert len(by_sequence) <= sum(r.length for r in rows) / 1024 + 2
+    assert packing.pack(docs(spark, [])).count() == 0
+
+
+# --- pipeline
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    item = prose(40, 77)
+    good = {i: prose(150, 1000 + i) for i in range(30)}
+    rows = [(i, f"Menu of the site\n{t}", "en", "s", 0) for i, t in good.items()]
+    rows += [(100, f"Menu of the site\n{good[0]}", "en", "s", 0), (101, good[1] + " tail", "en", "s", 0), (102, prose(60, 5) + " " + item.upper() + " " + prose(60, 6), "en", "t", 0), (103, "* " * 100, "en", "t", 0), (104, None, None, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs_now, kept = spark.read.parquet(str(tmp_path / "documents.parquet")), []
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs_now, str(tmp_path)).write.parquet(str(tmp_path / f"stage{k}"))
+        docs_now = spark.read.parquet(str(tmp_path / f"stage{k}"))
+        kept.append({r.doc_id for r in docs_now.select("doc_id").collect()})
+        if k < 4:
+            assert sorted(docs_now.columns) == sorted(corpus_pipeline.COLUMNS)
+    assert kept[0] == {*good, 100, 101, 102} == kept[1]
+    lines = {r.doc_id: r for r in spark.read.parquet(str(tmp_path / "stage1")).collect()}
+    assert lines[3].text == good[3] and lines[3].n_chars == len(good[3])
+    assert kept[2] == {*good, 102}
+    assert kept[3] == set(good) == kept[4]
+    whole = {tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "piece", "start", "length", "ids_crc32").collect()}
+    assert whole == {tuple(r) for r in docs_now.select("doc_id", "piece", "start", "length", "ids_crc32").collect()}
+
+
+def test_contract_hashes(spark, tmp_path):
+    rows = [(1, 1, "assistant", "b"), (1, 0, "user", "a"), (2, 0, "user", None)]
+    spark.createDataFrame(rows, T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()), T.StructField("role", T.StringType()), T.StructField("text", T.StringType())])).write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.conv_id: r for r in queries.op6_chat_formatting(spark, str(tmp_path)).collect()}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    said = "\\### Assistant: </turn> ok"
+    assert (got[1].n_turns, got[1].turns_sha256, got[1].loss_chars, got[1].loss_sha256) == (2, sha("user\na\nassistant\nb\n"), 1, sha("b"))
+    assert (got[2].turns_sha256, got[2].loss_sha256) == (sha("user\n\n"), sha(""))
+    assert (got[-7].turns_sha256, got[-7].loss_chars, got[-7].loss_sha256) == (sha(f"user\n{said}\nassistant\n{said}\n"), len(said), sha(said))
