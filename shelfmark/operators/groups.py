@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shelfmark.operators.components import connected_components
 from shelfmark.operators.similarity import perceptual_edges
 from shelfmark.plans.presets import DuplicateOptions
+from shelfmark.scratch import cut
 
 #: Keep policies: sort keys, all descending.
 POLICIES = {"largest_pixels": ("px", "size", "mtime"), "newest_mtime": ("mtime", "px", "size"), "largest_file": ("size", "px", "mtime")}
@@ -15,13 +16,17 @@ POLICIES = {"largest_pixels": ("px", "size", "mtime"), "newest_mtime": ("mtime",
 
 def size_candidates(files: DataFrame) -> DataFrame:
     """Files whose size occurs at least twice: equal content needs equal size, so the others need no digest."""
-    sizes = files.groupBy("size").agg(F.count("*").alias("_n")).where("_n > 1").select("size")
+    sizes = cut(files.groupBy("size").agg(F.count("*").alias("_n")).where("_n > 1").select("size"), "sizes")
     return files.join(sizes, "size", "left_semi")
 
 
 def exact_edges(records: DataFrame) -> DataFrame:
-    """(src, dst): a star from the first record of each content digest; linear, not all pairs."""
-    heads = records.where("sha256 is not null").groupBy("sha256").agg(F.min("id").alias("src"), F.count("*").alias("n")).where("n > 1").drop("n")
+    """(src, dst): a star from the first record of each content digest; linear, not all pairs.
+
+    The heads are a table of their own, so that a digest with very many copies can be
+    split in the join.
+    """
+    heads = cut(records.where("sha256 is not null").groupBy("sha256").agg(F.min("id").alias("src"), F.count("*").alias("n")).where("n > 1").drop("n"), "heads")
     return records.join(heads, "sha256").where("id <> src").select("src", F.col("id").alias("dst"))
 
 

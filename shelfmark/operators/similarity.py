@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions.hashing import dimension_block, hamming
 from shelfmark.functions.vectors import mean_min_distance
 from shelfmark.plans.presets import DuplicateOptions
+from shelfmark.scratch import cut
 
 
 def _masks(width: int, radius: int) -> list[int]:
@@ -114,7 +115,7 @@ def _with_facts(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def perceptual_edges(records: DataFrame, o: DuplicateOptions, bits: int = 60) -> DataFrame:
     """(src, dst) of matching records: a star within each class that matches itself, and one edge for each pair of matching classes."""
-    classes = visual_classes(records, o)
+    classes = cut(visual_classes(records, o), "classes")
     pairs = candidate_pairs(classes, o, bits=bits).unionByName(multiframe_pairs(classes, o, bits)).distinct()
     between = _with_facts(pairs, classes).where(perceptual_match("a", "b", o)).select(F.col("key_a").alias("src"), F.col("key_b").alias("dst"))
     alike = classes.where((F.col("members") > 1) & (F.col("phash").isNotNull() | multiframe()))
