@@ -53,22 +53,25 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, PIECES)
 
 
-def _complement(avail: np.ndarray, gap: int) -> tuple[int, ...] | None:
-    """One, two or three available lengths that sum to ``gap``, the largest first."""
+def _complement(avail: np.ndarray, gap: int, most: int = 3) -> tuple[int, ...] | None:
+    """One, two or three (up to ``most``) available lengths that sum to ``gap``, as even as there are: the shortest pieces are the easiest to place later."""
     if avail[gap] > 0:
         return (gap,)
 
     def pair(total: int, spent: int = 0) -> tuple[int, int] | None:
-        high = np.arange(total - 1, (total - 1) // 2, -1)  # a >= b >= 1
+        high = np.arange((total + 1) // 2, total)  # a >= b >= 1, the most even first
         need = 1 + (high * 2 == total) + (high == spent)
         good = (avail[high] >= need) & (avail[total - high] >= 1 + (total - high == spent))
         at = int(np.argmax(good)) if len(good) else 0
         return (int(high[at]), int(total - high[at])) if len(good) and good[at] else None
 
-    if found := pair(gap):
+    if most < 2:
+        return None
+    if (found := pair(gap)) or most < 3:
         return found
-    for a in np.flatnonzero(avail[: gap - 1])[::-1]:
-        if a and (found := pair(gap - int(a), int(a))):
+    third = -(-gap // 3)  # the longest of three is no shorter
+    for a in third + np.flatnonzero(avail[third : gap - 1]):
+        if found := pair(gap - int(a), int(a)):
             return (int(a), *found)
     return None
 
@@ -78,17 +81,26 @@ def plan(counts: np.ndarray, capacity: int = SEQUENCE) -> list[tuple[Counter, in
 
     counts[n] is the number of pieces of length n. First every length looks for one,
     two or three others that fill its sequence exactly, as often as counts allow; what
-    finds no complement is placed by best fit, longest first.
+    finds no complement is placed by best fit, longest first. Exact triples can use up the
+    short pieces that the rest would need, so complements of up to one, two and three
+    pieces are planned each, and the plan of fewest sequences is taken.
     """
+    plans = [_plan(counts, capacity, most) for most in (3, 2, 1)]
+    return min(plans, key=lambda p: sum(times for _, times in p))
+
+
+def _plan(counts: np.ndarray, capacity: int, most: int) -> list[tuple[Counter, int]]:
     avail = counts.astype(np.int64).copy()
     made: list[tuple[Counter, int]] = []
     if avail[capacity]:
         made.append((Counter({capacity: 1}), int(avail[capacity])))
         avail[capacity] = 0
     for length in range(capacity - 1, 0, -1):
+        if 2 * length <= capacity and avail[capacity // 2 + 1 :].any():
+            break  # sequences that hold a long piece still have gaps: shorter ones fill those before making sequences of their own
         while avail[length]:
             avail[length] -= 1  # its own place
-            rest = _complement(avail, capacity - length)
+            rest = _complement(avail, capacity - length, most)
             avail[length] += 1
             if rest is None:
                 break
