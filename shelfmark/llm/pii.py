@@ -129,8 +129,10 @@ class Pseudonyms:
         head = re.match(r"\+\d{1,3}(?=\D)|", text)[0]
         body = text[len(head) :]
         d = _digits(body)
-        if not 7 <= len(d) <= 14 or len(_digits(head)) + len(d) > 15 or (head in ("", "+1") and len(d) != 10):
+        if not 7 <= len(d) <= 14 or len(_digits(head)) + len(d) > 15:
             return None
+        if head in ("", "+1") and not re.fullmatch(r"[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]\d{4}", body):
+            return None  # without another country's code, the groups are 3, 3 and 4 digits
         return head + _refill(body, f"{self.number('phone', int(d), 10 ** len(d)):0{len(d)}d}")
 
     def card(self, m: re.Match) -> str | None:
