@@ -33,6 +33,20 @@ LABELLERS = ("length", "symbols", "capitals", "repetition", "function words", "s
 ABSTAIN, BAD, GOOD = 0, 1, 2
 
 
+class _Kinds(dict):
+    """Code point -> A for a capital, a for another letter, 9 for a digit, else itself; filled as characters are met."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = found = "A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c
+        return found
+
+
+_KINDS = _Kinds()
+_MARKS = ".,;:!?\"'()"
+_RUN = re.compile(r"(.)\1+", re.DOTALL)
+
+
 class WordFacts(dict):
     """Word -> one integer: hashed word, hashed shape, and flags; emptied when it has grown too large."""
 
@@ -41,12 +55,11 @@ class WordFacts(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= self.LIMIT:
             self.clear()
-        shape = re.sub(r"(.)\1+", r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in word))
-        letters = [c for c in word if c.isalpha()]
-        bare = word.lower().strip(".,;:!?\"'()")
-        flags = (bare in STOP_WORDS) | (len(letters) > 1 and all(c.isupper() for c in letters)) << 1 | (not SYMBOLS.isdisjoint(word)) << 2 | (word[-1] in ".!?") << 3
+        kinds = word.translate(_KINDS)
+        bare = word.lower().strip(_MARKS)
+        flags = (bare in STOP_WORDS) | (kinds.count("A") > 1 and "a" not in kinds) << 1 | (not SYMBOLS.isdisjoint(word)) << 2 | (word[-1] in ".!?") << 3
         hashed = xxhash.xxh3_64_intdigest(bare) & ((1 << WORD_BITS) - 1)
-        shaped = xxhash.xxh3_64_intdigest(shape, 1) & ((1 << SHAPE_BITS) - 1)
+        shaped = xxhash.xxh3_64_intdigest(_RUN.sub(r"\1", kinds), 1) & ((1 << SHAPE_BITS) - 1)
         self[word] = found = hashed | shaped << 16 | flags << 32 | min(len(word), 255) << 40
         return found
 
