@@ -24,7 +24,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines of a source go; every document stays, its n_chars follows its text."""
-    return line_dedup.drop_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    out = line_dedup.drop_lines(docs, ratio=line_dedup.CLEAR_RATIO)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from shelfmark.scratch import cut
 
 RATIO = 0.1
+#: Between the shares that real boilerplate has by host (8.6 to 13.2 % in the tables) and those of other lines (up to 4.8 %).
+CLEAR_RATIO = 0.065
 MIN_PAGES = 5
 #: Lines that hold more than this share of a page's characters are its content, not its frame.
 MOST_OF_PAGE = 0.5

@@ -530,6 +530,15 @@ def test_pipeline(spark, tmp_path):
     assert whole == {tuple(r) for r in docs_now.select("doc_id", "piece", "start", "length", "ids_crc32").collect()}
 
 
+def test_pipeline_drops_lines_just_below_a_tenth(spark):
+    import corpus_pipeline
+
+    framed = {i for i in range(54) if i % 11 == 0}  # 5 of 54 pages, 9.3 %
+    texts = [("Menu of the site\n" if i in framed else "A line of two\n" if i in (1, 2) else "") + prose(30, 2000 + i) for i in range(54)]
+    got = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs(spark, texts), "").collect()}
+    assert got == {i: prose(30, 2000 + i) if i in framed else t for i, t in enumerate(texts)}
+
+
 def test_contract_hashes(spark, tmp_path):
     rows = [(1, 1, "assistant", "b"), (1, 0, "user", "a"), (2, 0, "user", None)]
     spark.createDataFrame(rows, T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()), T.StructField("role", T.StringType()), T.StructField("text", T.StringType())])).write.parquet(str(tmp_path / "conversations.parquet"))
