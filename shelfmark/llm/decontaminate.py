@@ -247,10 +247,22 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return found if found is not None else docs.sparkSession.createDataFrame([], SCHEMA)
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents in which no passage was found; rows with a null id are kept unless their own text matches.
+def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", q: int = Q, rate: float = EDIT_RATE) -> DataFrame:
+    """The rows of ``docs`` in whose own text no passage was found, as ``find_passages`` finds them.
 
-    Only ids of matching documents are shuffled against the documents.
+    Each row is judged alone, so null and repeated ids make no difference. No shuffle:
+    each block of items is one pass that leaves out the rows it finds.
     """
-    hit = find_passages(docs, benchmark, id_col, **options).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, docs[id_col].cast("long").eqNullSafe(hit["_hit"]), "left_anti")
+    left = docs.withColumn("_text", F.col(text_col).cast("string"))
+    schema = left.schema
+    for block in _blocks(benchmark, item_col, item_text_col):
+
+        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            index = Index(block, q, rate)
+            for batch in batches:
+                texts = batch.column(batch.num_columns - 1)
+                hit = {row for row, *_ in search(index, enumerate(t.as_py() for t in texts))} if index.items else set()
+                yield batch.filter(pa.array([k not in hit for k in range(batch.num_rows)], pa.bool_()))
+
+        left = left.mapInArrow(run, schema)
+    return left.drop("_text")

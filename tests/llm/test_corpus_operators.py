@@ -342,6 +342,20 @@ def test_benchmark_in_blocks_gives_the_same(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in decontaminate.find_passages(frame, bench).collect()} == {(i, i) for i in range(6)}
 
 
+def test_clean_documents_judges_each_row_by_its_own_text(spark, monkeypatch):
+    items = [prose(20, 500), prose(20, 501)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = [items[0], prose(30, 502), None, "end " + items[1], prose(30, 503), prose(30, 503), items[0]]
+    ids = [None, None, None, 7, 7, 7, 8]
+    wanted = sorted([(None, texts[1]), (None, None), (7, texts[4]), (7, texts[5])], key=str)
+    for chars in (decontaminate.BLOCK_CHARS, 50):  # one block, and one for each item
+        monkeypatch.setattr(decontaminate, "BLOCK_CHARS", chars)
+        out = decontaminate.clean_documents(docs(spark, texts, ids=ids), bench)
+        assert out.schema == docs(spark, texts, ids=ids).schema
+        assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == wanted
+    assert decontaminate.clean_documents(docs(spark, texts), bench.limit(0)).count() == len(texts)
+
+
 # --- 8 Jaccard join
 
 
