@@ -29,10 +29,18 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates, the document with the least id stays."""
-    classes = jaccard_join.near_duplicates(docs)
-    dropped = classes.where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each class of near duplicates, the row with the least id stays (a null id is the greatest; equal ids: the least hash of the row).
+
+    Rows get numbers first, and classes are found by number: null and repeated ids lose no
+    row and spare none. Rows without words are in no class and all stay.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64(*COLUMNS).alias("hash"), F.col("_row").alias("row"))
+    rows = cut(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()).withColumn("_order", order), "rows")
+    classes = jaccard_join.near_duplicates(rows, id_col="_row").where("n_links > 0").withColumnRenamed("doc_id", "_row")
+    placed = cut(classes.join(rows.select("_row", "_order"), "_row").select("_row", "class_id", "_order"), "placed")
+    heads = cut(placed.groupBy("class_id").agg(F.min("_order").alias("head")).select("class_id", F.col("head.row").alias("head")), "first_rows")
+    dropped = cut(placed.join(heads, "class_id").where("_row <> head").select("_row"), "dropped")
+    return rows.join(dropped, "_row", "left_anti").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

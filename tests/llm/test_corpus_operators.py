@@ -553,6 +553,16 @@ def test_pipeline_drops_lines_just_below_a_tenth(spark):
     assert got == {i: prose(30, 2000 + i) if i in framed else t for i, t in enumerate(texts)}
 
 
+def test_pipeline_keeps_one_row_of_each_class(spark):
+    import corpus_pipeline
+
+    a, b, c, d = (prose(60, 3000 + i) for i in range(4))
+    rows = [(5, a), (3, b), (5, b), (None, c), (None, c), (None, c + " tail"), (9, d), (9, d), (9, d.upper()), (None, a), (None, None), (None, ""), (4, ""), (4, "")]
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs(spark, [t for _, t in rows], ids=[i for i, _ in rows]), "").collect()]
+    by_class = collections.Counter((i, (t or "").lower().removesuffix(" tail")) for i, t in got)
+    assert by_class == {(5, a): 1, (3, b): 1, (None, c): 1, (9, d): 1, (None, ""): 2, (4, ""): 2}
+
+
 def test_contract_hashes(spark, tmp_path):
     rows = [(1, 1, "assistant", "b"), (1, 0, "user", "a"), (2, 0, "user", None)]
     spark.createDataFrame(rows, T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()), T.StructField("role", T.StringType()), T.StructField("text", T.StringType())])).write.parquet(str(tmp_path / "conversations.parquet"))
