@@ -23,8 +23,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines of a source go; every document stays, its n_chars follows its text."""
-    out = line_dedup.drop_lines(docs, ratio=line_dedup.CLEAR_RATIO)
+    """Boilerplate lines of a source go, but for pages made of them alone; every document stays, its n_chars follows its text."""
+    out = line_dedup.drop_lines(docs, ratio=line_dedup.CLEAR_RATIO, most_of_page=None)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

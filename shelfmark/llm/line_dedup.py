@@ -48,7 +48,7 @@ def drop_lines(
     host: Column | str = "source",
     ratio: float = RATIO,
     min_pages: int = MIN_PAGES,
-    most_of_page: float = MOST_OF_PAGE,
+    most_of_page: float | None = MOST_OF_PAGE,
     broadcast_lines: int = BROADCAST_LINES,
 ) -> DataFrame:
     """All columns of ``docs``, ``text_col`` without its boilerplate lines, and a struct ``line_dedup`` (n_lines, n_dropped, copied).
@@ -56,6 +56,8 @@ def drop_lines(
     The lines left keep their order and are joined by newlines. ``copied`` marks a page
     whose boilerplate lines hold more than ``most_of_page`` of its characters: whole pages
     repeat on that host, which near-duplicate removal settles, so its text stays as it is.
+    With ``most_of_page`` None, that holds only for a page of which no line but blank ones
+    would be left: any other page loses its boilerplate lines, however short its own text.
     A null host is a host of its own, the empty one; a null text stays null with no lines.
     Lines of blanks alone are never counted nor dropped. Rows are pages: repeated rows
     each count. An empty table gives an empty result.
@@ -82,7 +84,10 @@ def drop_lines(
     left = F.when(F.size("_drop") == 0, text).otherwise(F.array_join(F.transform(F.filter(pairs, lambda x: ~F.coalesce(F.array_contains(F.col("_drop"), x["key"]), F.lit(False))), lambda x: x["line"]), "\n"))
     gone = F.when(F.size("_drop") == 0, 0).otherwise(F.size(F.filter("_keys", lambda k: F.coalesce(F.array_contains(F.col("_drop"), k), F.lit(False)))))
     marked = marked.withColumn("_left", left).withColumn("_gone", gone)
-    copied = F.coalesce(F.length("_left") < (1 - most_of_page) * F.length(text), F.lit(False))
+    if most_of_page is None:
+        copied = (F.col("_gone") > 0) & (F.size(F.filter("_keys", lambda k: k.isNotNull())) == F.col("_gone"))
+    else:
+        copied = F.coalesce(F.length("_left") < (1 - most_of_page) * F.length(text), F.lit(False))
     facts = F.struct(F.size(F.filter("_keys", lambda k: k.isNotNull())).cast("long").alias("n_lines"), F.when(copied, 0).otherwise(F.col("_gone")).cast("long").alias("n_dropped"), copied.alias("copied"))
     out = marked.withColumn("line_dedup", facts).withColumn(text_col, F.when(copied, text).otherwise(F.col("_left")))
     return out.drop("_keys", "_drop", "_left", "_gone")

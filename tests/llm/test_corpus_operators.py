@@ -553,6 +553,20 @@ def test_pipeline_drops_lines_just_below_a_tenth(spark):
     assert got == {i: prose(30, 2000 + i) if i in framed else t for i, t in enumerate(texts)}
 
 
+@pytest.mark.parametrize("limit", [20_000, 0])
+def test_short_pages_lose_a_long_frame(spark, limit):
+    import corpus_pipeline
+
+    frame, copy = "Home and all the other places of this long menu", "\n".join(prose(20, 4000 + i) for i in range(3))
+    texts = [f"{frame}\nown {i}" for i in range(20)] + [copy] * 6 + [frame, f" \n{frame}\t\n", None, "", "\n"]
+    wanted = [f"own {i}" for i in range(20)] + texts[20:]
+    out = line_dedup.drop_lines(docs(spark, texts), ratio=line_dedup.CLEAR_RATIO, most_of_page=None, broadcast_lines=limit)
+    got = {r.doc_id: (r.text, r.line_dedup.n_dropped, r.line_dedup.copied) for r in out.collect()}
+    assert got == {i: (t, int(i < 20), 20 <= i < 28) for i, t in enumerate(wanted)}
+    if limit:
+        assert {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs(spark, texts), "").collect()} == dict(enumerate(wanted))
+
+
 def test_pipeline_keeps_one_row_of_each_class(spark):
     import corpus_pipeline
 
