@@ -13,7 +13,7 @@ import datetime
 import hashlib
 import math
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -125,15 +125,12 @@ class Pseudonyms:
         return self.string("email", local, _CLASSES) + at + domain
 
     def phone(self, m: re.Match) -> str | None:
-        text = m[0]
-        head = re.match(r"\+\d{1,3}(?=\D)|", text)[0]
-        body = text[len(head) :]
-        d = _digits(body)
-        if not 7 <= len(d) <= 14 or len(_digits(head)) + len(d) > 15:
+        d = _digits(m[0])
+        head = _COUNTRY.match(d)[0] if m[0][0] == "+" else ""
+        body = d[len(head) :]
+        if not 7 <= len(body) <= 14 or len(d) > 15 or head in ("", "1") and len(body) != 10:
             return None
-        if head in ("", "+1") and not re.fullmatch(r"[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]\d{4}", body):
-            return None  # without another country's code, the groups are 3, 3 and 4 digits
-        return head + _refill(body, f"{self.number('phone', int(d), 10 ** len(d)):0{len(d)}d}")
+        return _refill(m[0], head + f"{self.number('phone', int(body), 10 ** len(body)):0{len(body)}d}")
 
     def card(self, m: re.Match) -> str | None:
         d = _digits(m[0])
@@ -204,6 +201,8 @@ _FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
 _DAYS = datetime.date(2100, 1, 1).toordinal() - _FIRST_DAY
 _DATES = ((r"(\d{4})-(\d{2})-(\d{2})", "ymd"), (r"(\d{4})/(\d{1,2})/(\d{1,2})", "ymd"), (r"(\d{1,2})[./](\d{1,2})[./](\d{4})", "dmy"))
 
+#: Country calling codes: one digit, the assigned ones of two, and else three.
+_COUNTRY = re.compile(r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{1,3}")
 #: (kind, what a text must hold to be searched at all, shape); earlier kinds win where shapes overlap.
 _SHAPES = (
     ("secret", "=:", re.compile(r"""((?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)["']?\s{0,3}[=:]\s{0,3}["']?)([A-Za-z0-9_+/.-]{16,})""")),
@@ -212,10 +211,31 @@ _SHAPES = (
     ("ipv4", ".", re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)")),
     ("date", "-/.", re.compile(r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}([./])\d{1,2}\1\d{4})(?![\w/-]|\.\d)")),
     ("ssn", "-", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")),
-    ("card", "", re.compile(r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?!\w|[ -]\d)")),
-    ("phone", "+-. (", re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{2,4}(?:[ .-]\d{2,4}){1,3}(?![\w]|[.-]\d)")),
+    ("card", "", re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?!\w|[ -]\d)")),
+    ("card", "", re.compile(r"(?<![\w.+])(?:\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{4,5}|(?<!-)\d{13,19})(?!\w|-\d)")),  # next to other numbers
+    ("phone", "+-. (", re.compile(r"(?<![\w+])(?:\+[1-9](?:[ .()/-]{0,2}\d){7,14}|(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4})(?!\w|[.-]\d)")),
 )
+#: Kinds of which a candidate that isn't valid can hold a valid one.
+_NESTED = ("card", "phone")
 _ANY_DIGIT = re.compile(r"\d")
+_DIGITS = re.compile(r"\d+")
+
+
+def _values(kind: str, shape: re.Pattern, text: str, names: Pseudonyms, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int, str]]:
+    """(start, end, pseudonym) of the valid values of a shape; where a candidate isn't one, it is tried without its last groups, then from its next group on."""
+    at = 0
+    while m := shape.search(text, at):
+        at, tries = m.end(), [m]
+        if kind in _NESTED:
+            at = m.start() + 1
+            ends = [m.start() + g.end() for g in _DIGITS.finditer(m[0])][-2::-1]
+            tries += filter(None, (shape.fullmatch(text, m.start(), e) for e in ends if text[e] not in ".-"))
+        for c in tries:
+            s, e = c.span()
+            if not any(s < b and a < e for a, b in taken) and (new := getattr(names, kind)(c)) is not None:
+                yield s, e, new
+                at = e
+                break
 
 
 def redact(text: str | None, names: Pseudonyms) -> tuple[str | None, list[tuple[str, int, int]]]:
@@ -227,13 +247,7 @@ def redact(text: str | None, names: Pseudonyms) -> tuple[str | None, list[tuple[
     for kind, needs, shape in _SHAPES:
         if needs and not any(c in text for c in needs):
             continue
-        for m in shape.finditer(text):
-            s, e = m.span()
-            if any(s < b and a < e for a, b in taken):
-                continue
-            new = getattr(names, kind)(m)
-            if new is not None:
-                found.append((s, e, kind, new))
+        found += [(s, e, kind, new) for s, e, new in _values(kind, shape, text, names, taken)]
         taken = sorted((s, e) for s, e, *_ in found)
     out, last = [], 0
     for s, e, _, new in sorted(found):
@@ -247,7 +261,8 @@ def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Kinds: e-mail local parts, phone numbers, payment cards (Luhn), IPv4 addresses, US
     social security numbers, IBANs (mod 97), calendar dates of 1900 to 2099, and secrets
-    after token/password/key. What fails its validation stays. A null text stays null, an
+    after token/password/key. Phone numbers are + and 7 to 14 digits after a country code
+    in any grouping (10 after +1), or groups of 3, 3 and 4 digits. What fails its validation stays. A null text stays null, an
     empty one empty. Rows are independent: repeated rows give repeated rows, null ids are
     carried along, other columns are not read. No shuffle.
     """

@@ -194,6 +194,25 @@ def test_equal_values_stay_linked_and_invalid_ones_stay():
         assert pii.redact(text, names) == (text, [])
 
 
+def test_phones_in_any_grouping_and_values_behind_other_numbers():
+    names, back = pii.Pseudonyms(pii.KEY), pii.Pseudonyms(pii.KEY, undo=True)
+    card, phones = "4111 1111 1111 1111", ("+14155552671", "+49 30 123456", "+49 151 12345678", "+358401234567")
+    cases = [("phone", p) for p in phones] + [("phone", "555-123-4567"), ("card", card), ("card", "4111111111111111"), ("card", "4111-1111-1111-1111")]
+    for kind, value in cases:
+        for text in (value, f"id 12 {value}", f"Room 1234 {value}, 5", f"call {value}."):
+            new, spans = pii.redact(text, names)
+            assert [(k, text[s:e]) for k, s, e in spans] == [(kind, value)], text
+            if text.startswith(value) or text.startswith("call"):  # a number in front can be read as a card's
+                assert pii.redact(new, back)[0] == text
+    for text, value in ((f"{card} 12 34", card), ("+1 415 555 2671 2020", "+1 415 555 2671"), ("555-123-4567 2020", "555-123-4567")):
+        assert [text[s:e] for _, s, e in pii.redact(text, names)[1]] == [value]
+    text = "+49 30 123456 2001-02-03"
+    assert [text[s:e] for _, s, e in pii.redact(text, names)[1]] == ["+49 30 123456", "2001-02-03"]
+    assert re.sub(r"\D", "", pii.redact("+1 415 555 2671", names)[0]) == pii.redact("+14155552671", names)[0][1:]
+    for text in ("+12345678", "4111 1111 1111 1112", "2020 2021 22 23", "1 555-123-45678", "+0 123 456 78"):
+        assert pii.redact(text, names) == (text, [])
+
+
 def test_pseudonyms_awkward(spark):
     got = {r.doc_id: (r.text, r.n_replaced) for r in pii.pseudonymise(docs(spark, AWKWARD)).collect()}
     assert got == {i: (t, 0) for i, t in enumerate(AWKWARD)}
