@@ -87,8 +87,8 @@ OTHERS = (
     "The publisher printed a copy of the work in binary form.",
     "Permission was granted to the contributors by the holder of the office.",
 )
-#: A paragraph without any of these cannot name a licence and is not classified.
-ANCHOR = re.compile(r"licen[sc]|copyright|permission|redistribut|reserved|public domain|creative ?commons|warrant|waived|free software|source code|compiled binary|©", re.IGNORECASE)
+#: A paragraph without any of these words or short names of licences is not classified.
+ANCHOR = re.compile(r"licen[sc]|copyright|permission|redistribut|reserved|public domain|creative ?commons|warrant|waived|free software|source code|compiled binary|©|\b(?:[al]?gpl|gnu\b|cc0|cc[ -]by|mpl|mozilla|spdx|apache|unlicense)|(?-i:\b(?:BSD|ISC)\b|(?<=[a-z] )MIT\b|\bMIT(?= [a-z]))", re.IGNORECASE)
 _WORD = re.compile(r"[a-z]+(?:-[a-z]+)*|\d+(?:\.\d+)*")
 _END = re.compile(r"[.:!?]\s*$")
 

@@ -453,6 +453,12 @@ def test_licences_unknown_and_none(model):
     assert model.classify("The license plate was copied from the notice on the door.")[0] == licenses.NONE
 
 
+def test_licences_by_short_name_are_classified(spark, model):
+    lines = ["Released under GPL-3.0.", "Distributed under the terms of the GNU GPL v3.", "Text is available under CC BY-SA 4.0.", "Dedicated under CC0 1.0 Universal.", "Released under MIT.", "Distributed under BSD 3-Clause.", "Released under LGPL-2.1.", "mit dem Zug"]
+    got = {r.doc_id: r.family for r in licenses.scan(docs(spark, lines), model=model).collect()}
+    assert got == {0: "unknown", 1: "unknown", 2: "CC-BY-SA", 3: "CC0", 4: "unknown", 5: "unknown", 6: "unknown"}
+
+
 def test_paragraphs_join_wrapped_lines():
     text = "Title\n\nPermission is hereby granted, free of charge, to any\nperson obtaining a copy of this software and associated documentation\nfiles.\nNext line.\n"
     assert [text[s:e] for s, e in licenses.paragraphs(text)] == ["Title", text[7 : text.index("files.") + 6], "Next line."]
