@@ -3,11 +3,14 @@
 A multi-pass plan is cut by writing a Parquet table and reading it back: the
 lineage ends there, a lost executor costs only the tasks it was running, and the
 table is read with column pruning. The folder is ``spark.checkpoint.dir`` of the
-session; only where that is unset (tests, a laptop) a local one takes its place.
+session. Where that is unset, a folder of this machine takes its place if the master is
+local (tests, a laptop), and anything else is refused: executors of a cluster would each
+write to their own disk.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,9 +20,14 @@ KEY = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, or a local one if none is configured."""
+    """The cluster's shared folder; a local one if none is configured and the master is local."""
     found = spark.conf.get(KEY, None)
-    return found if found else f"file://{tempfile.gettempdir()}/shelfmark-shared"
+    if found:
+        return found
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise ValueError(f"{KEY} must name a folder that all executors of {master} share")
+    return f"file://{tempfile.gettempdir()}/shelfmark-shared"
 
 
 def _root(spark: SparkSession) -> str:
