@@ -13,6 +13,7 @@ import datetime
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -24,6 +25,10 @@ ROUNDS = 10
 KEY = b"shelfmark demonstration key"
 #: An e-mail's local part of fewer values than this is permuted together with its domain's first label.
 SMALL = 10**6
+#: Characters of a value that are permuted as one number.
+BLOCK = 64
+#: Networks remembered by a task.
+MOST_KNOWN = 10_000
 KINDS = ("email", "phone", "card", "ipv4", "ssn", "iban", "date", "secret")
 
 
@@ -35,7 +40,8 @@ class Feistel:
         self.half = max(1, -(-max(size - 1, 1).bit_length() // 2))
         self.mask = (1 << self.half) - 1
         self.bytes = -(-self.half // 8)
-        self.base = hashlib.blake2b(f"{tweak}/{size}".encode(), key=hashlib.sha256(key).digest(), digest_size=32)
+        name = tweak.encode() + b"/" + size.to_bytes(size.bit_length() // 8 + 1, "little")
+        self.base = hashlib.blake2b(name, key=hashlib.sha256(key).digest(), digest_size=32)
 
     def _round(self, number: int, half: int) -> int:
         h = self.base.copy()
@@ -91,14 +97,26 @@ class Pseudonyms:
         self.key, self.undo = key, undo
         self.known: dict[tuple[str, int], Feistel] = {}
 
-    def number(self, kind: str, x: int, size: int) -> int:
+    def number(self, kind: str, x: int, size: int, keep: bool = True) -> int:
         f = self.known.get((kind, size))
         if f is None:
-            f = self.known[kind, size] = Feistel(self.key, kind, size)
+            f = Feistel(self.key, kind, size)
+            if keep and len(self.known) < MOST_KNOWN:
+                self.known[kind, size] = f
         return f.restore(x) if self.undo else f.permute(x)
 
     def string(self, kind: str, text: str, alphabets: dict[str, str]) -> str:
-        """Characters stay in their own alphabet (mixed radix); others stay as they are."""
+        """Characters stay in their own alphabet (mixed radix); others stay as they are.
+
+        A value longer than BLOCK is permuted block by block, each under a tweak of its
+        number and of the value's length, so that the work grows with the length alone.
+        """
+        if len(text) <= BLOCK:
+            return self._block(kind, text, alphabets)
+        parts = [text[at : at + BLOCK] for at in range(0, len(text), BLOCK)]
+        return "".join(self._block(f"{kind}/{len(text)}/{k}", part, alphabets, keep=False) for k, part in enumerate(parts))
+
+    def _block(self, kind: str, text: str, alphabets: dict[str, str], keep: bool = True) -> str:
         radix = [alphabets.get(c, "") for c in text]
         size, x = 1, 0
         for c, a in zip(text, radix):
@@ -106,7 +124,7 @@ class Pseudonyms:
                 x, size = x * len(a) + a.index(c), size * len(a)
         if size < 2:
             return text
-        y = self.number(kind, x, size)
+        y = self.number(kind, x, size, keep)
         out = []
         for c, a in zip(reversed(text), reversed(radix)):
             if a:
@@ -128,9 +146,12 @@ class Pseudonyms:
         d = _digits(m[0])
         head = _COUNTRY.match(d)[0] if m[0][0] == "+" else ""
         body = d[len(head) :]
-        if not 7 <= len(body) <= 14 or len(d) > 15 or head in ("", "1") and len(body) != 10:
+        national = not head and body[0] == "0"
+        if not 7 <= len(body) <= 14 or len(d) > 15 or head in ("", "1") and len(body) != 10 and not (national and len(body) == 11):
             return None
-        return _refill(m[0], head + f"{self.number('phone', int(body), 10 ** len(body)):0{len(body)}d}")
+        lead = 10 ** (len(body) - 1)  # a leading zero stays one, as it decides how the number is read
+        new = self.number("phone", int(body), lead) if body[0] == "0" else lead + self.number("phone", int(body) - lead, 9 * lead)
+        return _refill(m[0], head + f"{new:0{len(body)}d}")
 
     def card(self, m: re.Match) -> str | None:
         d = _digits(m[0])
@@ -173,14 +194,14 @@ class Pseudonyms:
                 try:
                     day = datetime.date(int(part["y"]), int(part["m"]), int(part["d"])).toordinal()
                 except ValueError:
-                    return None
+                    continue
                 if not _FIRST_DAY <= day < _FIRST_DAY + _DAYS:
                     return None
                 narrow = [name for k, name in enumerate(order, 1) if len(found[k]) == 1]
-                while True:  # walk until a field written with one digit is below ten again
+                while True:  # walk until a field written with one digit is below ten again, and a month that came first still can't be a day's
                     day = _FIRST_DAY + self.number("date", day - _FIRST_DAY, _DAYS)
                     new = datetime.date.fromordinal(day)
-                    if all({"m": new.month, "d": new.day}[name] < 10 for name in narrow):
+                    if all({"m": new.month, "d": new.day}[name] < 10 for name in narrow) and (order != "mdy" or new.day > 12):
                         break
                 filled = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
                 out, last = [], 0
@@ -199,12 +220,20 @@ _CLASSES = {c: a for a in (_LOWER, _UPPER, _DIGIT) for c in a}
 _CLASSES_HEX = {c: "0123456789abcdef" for c in "0123456789abcdef"}
 _FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
 _DAYS = datetime.date(2100, 1, 1).toordinal() - _FIRST_DAY
-_DATES = ((r"(\d{4})-(\d{2})-(\d{2})", "ymd"), (r"(\d{4})/(\d{1,2})/(\d{1,2})", "ymd"), (r"(\d{1,2})[./](\d{1,2})[./](\d{4})", "dmy"))
+#: Month first only where day first is no date.
+_DATES = (
+    (r"(\d{4})-(\d{2})-(\d{2})", "ymd"),
+    (r"(\d{4})/(\d{1,2})/(\d{1,2})", "ymd"),
+    (r"(\d{1,2})[./](\d{1,2})[./](\d{4})", "dmy"),
+    (r"(\d{1,2})/(\d{1,2})/(\d{4})", "mdy"),
+)
 
 #: Country calling codes: one digit, the assigned ones of two, and else three.
 _COUNTRY = re.compile(r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{1,3}")
 #: (kind, what a text must hold to be searched at all, shape); earlier kinds win where shapes overlap.
 _SHAPES = (
+    # Prefixes of keys that say by themselves what they are.
+    ("secret", "", re.compile(r"(?<![A-Za-z0-9_+/.-])(AKIA|ASIA|gh[opsu]_|github_pat_|glpat-|sk_live_|sk-|xox[abp]-)([A-Za-z0-9_-]{16,})")),
     ("secret", "=:", re.compile(r"""((?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)["']?\s{0,3}[=:]\s{0,3}["']?)([A-Za-z0-9_+/.-]{16,})""")),
     ("email", "@", re.compile(r"(?<![\w.+%-])[A-Za-z0-9][\w.+%-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+")),
     ("iban", "", re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")),
@@ -213,7 +242,7 @@ _SHAPES = (
     ("ssn", "-", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")),
     ("card", "", re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?!\w|[ -]\d)")),
     ("card", "", re.compile(r"(?<![\w.+])(?:\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{4,5}|(?<!-)\d{13,19})(?!\w|-\d)")),  # next to other numbers
-    ("phone", "+-. (", re.compile(r"(?<![\w+])(?:\+[1-9](?:[ .()/-]{0,2}\d){7,14}|(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4})(?!\w|[.-]\d)")),
+    ("phone", "+-. (", re.compile(r"(?<![\w+])(?:\+[1-9](?:[ .()/-]{0,2}\d){7,14}|(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}|0\d{2,4}[ -]\d{3,4}[ -]\d{3,4})(?!\w|[.-]\d)")),
 )
 #: Kinds of which a candidate that isn't valid can hold a valid one.
 _NESTED = ("card", "phone")
@@ -222,17 +251,26 @@ _DIGITS = re.compile(r"\d+")
 
 
 def _values(kind: str, shape: re.Pattern, text: str, names: Pseudonyms, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int, str]]:
-    """(start, end, pseudonym) of the valid values of a shape; where a candidate isn't one, it is tried without its last groups, then from its next group on."""
-    at = 0
+    """(start, end, pseudonym) of the valid values of a shape outside ``taken`` (disjoint, in order).
+
+    Where a candidate isn't valid, it is tried without its last groups, then from its next
+    group on.
+    """
+    at, ends = 0, [b for _, b in taken]
+
+    def free(s: int, e: int) -> bool:
+        k = bisect_right(ends, s)  # the first that ends behind s
+        return k == len(taken) or taken[k][0] >= e
+
     while m := shape.search(text, at):
         at, tries = m.end(), [m]
         if kind in _NESTED:
             at = m.start() + 1
-            ends = [m.start() + g.end() for g in _DIGITS.finditer(m[0])][-2::-1]
-            tries += filter(None, (shape.fullmatch(text, m.start(), e) for e in ends if text[e] not in ".-"))
+            shorter = [m.start() + g.end() for g in _DIGITS.finditer(m[0])][-2::-1]
+            tries += filter(None, (shape.fullmatch(text, m.start(), e) for e in shorter if text[e] not in ".-"))
         for c in tries:
             s, e = c.span()
-            if not any(s < b and a < e for a, b in taken) and (new := getattr(names, kind)(c)) is not None:
+            if free(s, e) and (new := getattr(names, kind)(c)) is not None:
                 yield s, e, new
                 at = e
                 break
@@ -260,11 +298,16 @@ def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc_id, text, n_replaced, spans (kind, start, end in the given text) of every row of ``docs``.
 
     Kinds: e-mail local parts, phone numbers, payment cards (Luhn), IPv4 addresses, US
-    social security numbers, IBANs (mod 97), calendar dates of 1900 to 2099, and secrets
-    after token/password/key. Phone numbers are + and 7 to 14 digits after a country code
-    in any grouping (10 after +1), or groups of 3, 3 and 4 digits. What fails its validation stays. A null text stays null, an
-    empty one empty. Rows are independent: repeated rows give repeated rows, null ids are
-    carried along, other columns are not read. No shuffle.
+    social security numbers, IBANs (mod 97), calendar dates of 1900 to 2099 (day first, or
+    month first where that alone is a date), and secrets after token/password/key or with
+    a known prefix (``AKIA``, ``ghp_`` and the like, which stays). Phone numbers are + and
+    7 to 14 digits after a country code in any grouping (10 after +1), groups of 3, 3 and
+    4 digits, or three groups of 10 or 11 digits that start with 0. Out of scope, as too
+    many other numbers look like them: local numbers of seven digits (555-1234).
+
+    What fails its validation stays. A null text stays null, an empty one empty; very long
+    texts and values take time in proportion. Rows are independent: repeated rows give
+    repeated rows, null ids are carried along, other columns are not read. No shuffle.
     """
 
     @F.pandas_udf("text string, n_replaced long, spans array<struct<kind:string,start:long,end:long>>")
