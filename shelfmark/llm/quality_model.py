@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 WORD_BITS, SHAPE_BITS = 16, 12
 SIZE = (1 << WORD_BITS) + (1 << SHAPE_BITS) + (1 << WORD_BITS) + 2  # words, shapes, pairs of shapes, two shares of repetition
-#: Rows of the training sample, as expected under a hash of the id; all other counts cover all rows.
+#: Most rows of the training sample, those of least hash of id and text; all other counts cover all rows.
 TRAIN_ROWS = 6000
 #: Least score that is kept; below one half, as losing a good document costs more than keeping a bad one.
 LEAST = 0.4
@@ -173,20 +173,36 @@ def _mapped(docs: DataFrame, id_col: str, text_col: str, schema: str, kinds: lis
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
+def candidates(docs: DataFrame, share: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(h, text) of the distinct rows of ``docs`` whose hash of id and text lies in the lowest ``share`` of all hashes.
+
+    Rows that repeat id and text are one, met map-side, so that a row repeated without end
+    takes one place. Null ids and texts hash like any other value.
+    """
+    doc_id, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    hashed = docs.select(F.xxhash64(F.struct(F.lit("sample"), doc_id, text)).alias("h"), text.alias("text"))
+    near = hashed.where(F.col("h") < int((2 * share - 1) * (1 << 63))) if share < 1 else hashed
+    return near.groupBy("h").agg(F.first("text").alias("text"))
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """(scorer's weights, table of the labellers' vote probabilities [bad/good, labeller, abstain/bad/good]).
 
-    The driver gets one count for each vote pattern (at most 3**7) and the features of
-    about ``train_rows`` documents, chosen by a hash of their id.
+    The driver gets one count for each vote pattern (at most 3**7) and the features of at
+    most ``train_rows`` documents, those of least hash: the same for any order of rows.
     """
     cast = _mapped(docs, id_col, text_col, "doc_id long, pattern int", [pa.int32()], lambda c: (votes(c),))
     counts = {r["pattern"]: r["n"] for r in cast.groupBy("pattern").agg(F.count("*").alias("n")).collect()}
     posterior, table, _ = estimate(counts)
-    share = min(1.0, train_rows / max(1, sum(counts.values())))
-    chosen = docs.where(F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(1 << 20)) < int(share * (1 << 20)))
-    schema = "doc_id long, pattern int, index array<int>, value array<float>"
-    sample = _mapped(chosen, id_col, text_col, schema, [pa.int32(), pa.list_(pa.int32()), pa.list_(pa.float32())], lambda c: (votes(c), *features(c)))
-    rows = sorted(sample.collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"], r["pattern"]))
+    schema = "h long, pattern int, index array<int>, value array<float>"
+    kinds = [pa.int32(), pa.list_(pa.int32()), pa.list_(pa.float32())]
+    share = 1.5 * (train_rows + 100) / max(1, sum(counts.values()))
+    while True:  # more than once only where most rows repeat others
+        near = _mapped(candidates(docs, share, id_col, text_col), "h", "text", schema, kinds, lambda c: (votes(c), *features(c)))
+        rows = near.orderBy("h").limit(train_rows).collect()
+        if len(rows) == train_rows or share >= 1:
+            break
+        share *= 16
     target = np.array([posterior[r["pattern"]] for r in rows])
     return fit([(np.array(r["index"], np.int64), np.array(r["value"])) for r in rows], target), table
 
