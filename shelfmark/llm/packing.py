@@ -8,7 +8,9 @@ place by their rank among the pieces of their length.
 
 from __future__ import annotations
 
+import math
 import zlib
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -23,9 +25,6 @@ from shelfmark.scratch import cut
 SEQUENCE = 1024
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
-#: Pieces ranked together; a common length is spread over as many groups as it needs.
-RANK_GROUP = 512
-
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -79,39 +78,91 @@ def _complement(avail: np.ndarray, gap: int, most: int = 3) -> tuple[int, ...] |
 def plan(counts: np.ndarray, capacity: int = SEQUENCE) -> list[tuple[Counter, int]]:
     """Patterns (lengths in one sequence, number of such sequences) that use up ``counts``.
 
-    counts[n] is the number of pieces of length n. First every length looks for one,
-    two or three others that fill its sequence exactly, as often as counts allow; what
-    finds no complement is placed by best fit, longest first. Exact triples can use up the
-    short pieces that the rest would need, so complements of up to one, two and three
-    pieces are planned each, and the plan of fewest sequences is taken.
+    counts[n] is the number of pieces of length n. Single complements come first: two
+    pieces that fill a sequence are together in some best packing. Then every length,
+    longest first, looks for a pair and at last for a triple that fills its gap exactly,
+    as often as counts allow. A combination is consumed only if best fit then needs no
+    more sequences for what remains than before: exact fills that spend short pieces which
+    longer ones need are left out. What is left is placed by best fit, longest first.
     """
-    plans = [_plan(counts, capacity, most) for most in (3, 2, 1)]
-    return min(plans, key=lambda p: sum(times for _, times in p))
-
-
-def _plan(counts: np.ndarray, capacity: int, most: int) -> list[tuple[Counter, int]]:
     avail = counts.astype(np.int64).copy()
     made: list[tuple[Counter, int]] = []
+
+    def take(lengths: Counter, times: int) -> None:
+        for n, k in lengths.items():
+            avail[n] -= k * times
+
     if avail[capacity]:
         made.append((Counter({capacity: 1}), int(avail[capacity])))
         avail[capacity] = 0
-    for length in range(capacity - 1, 0, -1):
-        if 2 * length <= capacity and avail[capacity // 2 + 1 :].any():
-            break  # sequences that hold a long piece still have gaps: shorter ones fill those before making sequences of their own
-        while avail[length]:
-            avail[length] -= 1  # its own place
-            rest = _complement(avail, capacity - length, most)
-            avail[length] += 1
-            if rest is None:
-                break
-            lengths = Counter((length, *rest))
-            times = min(int(avail[n]) // k for n, k in lengths.items())
-            for n, k in lengths.items():
-                avail[n] -= k * times
+    for length in range(capacity - 1, (capacity - 1) // 2, -1):
+        lengths = Counter((length, capacity - length))
+        if times := min(int(avail[n]) // k for n, k in lengths.items()):
+            take(lengths, times)
             made.append((lengths, times))
+    least = _sequences(avail, capacity)
+    for most in (2, 3):
+        for length in range(capacity - 1, 0, -1):
+            while avail[length]:
+                avail[length] -= 1  # its own place
+                rest = _complement(avail, capacity - length, most)
+                avail[length] += 1
+                if rest is None:
+                    break
+                lengths = Counter((length, *rest))
+                times = min(int(avail[n]) // k for n, k in lengths.items())
+                while times:
+                    take(lengths, times)
+                    if (now := times + _sequences(avail, capacity)) <= least:
+                        least = now - times
+                        made.append((lengths, times))
+                        break
+                    take(lengths, -times)
+                    times //= 4
+                if not times:
+                    break
     return made + _best_fit(avail, capacity)
 
 
+def _sequences(avail: np.ndarray, capacity: int) -> int:
+    """How many sequences ``_best_fit`` makes, by counts of gaps alone."""
+    having = [0] * (capacity + 1)
+    gaps: list[int] = []  # those that some sequence has, in order
+    made = 0
+
+    def add(gap: int, times: int) -> None:
+        if gap:
+            if not having[gap]:
+                insort(gaps, gap)
+            having[gap] += times
+
+    for length in np.flatnonzero(avail)[::-1].tolist():
+        left = int(avail[length])
+        at = bisect_left(gaps, length)
+        while left and at < len(gaps):
+            gap = gaps[at]
+            fit = gap // length
+            full = min(left // fit, having[gap])
+            left -= full * fit
+            some = left if full < having[gap] else 0
+            left -= some
+            having[gap] -= full + (some > 0)
+            if not having[gap]:
+                gaps.pop(at)
+            if full:
+                add(gap - fit * length, full)
+            if some:
+                add(gap - some * length, 1)
+            at = bisect_right(gaps, gap)
+        fit = capacity // length
+        made += -(-left // fit)
+        if left >= fit:
+            add(capacity - fit * length, left // fit)
+        if left % fit:
+            add(capacity - left % fit * length, 1)
+    return made
+
+
 def _best_fit(avail: np.ndarray, capacity: int) -> list[tuple[Counter, int]]:
     """Best fit, longest first, over groups of equally filled sequences."""
     by_gap: dict[int, list[tuple[Counter, int]]] = defaultdict(list)
@@ -174,7 +225,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     for row in histogram:
         counts[row["length"]] = row["n"]
     runs = spark.createDataFrame(slots(plan(counts, capacity)), "length long, rank_from long, rank_to long, first_sequence long, first_offset long, per_sequence long")
-    groups = spark.createDataFrame([(int(n), -(-int(counts[n]) // RANK_GROUP)) for n in np.flatnonzero(counts)], "length long, groups long")
+    # as many rank groups for a length as each has pieces: neither grows beyond the root of the count
+    groups = spark.createDataFrame([(int(n), math.isqrt(int(counts[n]) - 1) + 1) for n in np.flatnonzero(counts)], "length long, groups long")
 
     spread = cuts.join(F.broadcast(groups), "length").withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("groups"))).drop("groups")
     before = Window.partitionBy("length").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)

@@ -57,21 +57,44 @@ def _ranks(spec: dict) -> dict[bytes, int] | None:
     return {bytes(alphabet[c] for c in t): i for t, i in vocab.items() if t not in special}
 
 
+def _added(spec: dict) -> dict[str, int] | None:
+    """Ids of the file's added tokens by their text; None if one of them takes more into account than its text."""
+    tokens = spec.get("added_tokens", [])
+    if any(t.get(k) for t in tokens for k in ("single_word", "lstrip", "rstrip")):
+        return None
+    return {t["content"]: t["id"] for t in tokens}
+
+
 @lru_cache(maxsize=4)
 def encoder(vocabulary: str):
-    """Function from a text to its ids (uint32 array). Special tokens' strings in a text are ordinary text."""
+    """Function from a text to its ids (uint32 array), as the library gives them without special tokens of its own.
+
+    A text is split at the file's added tokens first, so that ``<|endoftext|>`` in a text
+    is that token's id, as it is for the library.
+    """
     path = resolve(vocabulary)
     with open(path, encoding="utf-8") as f:
-        ranks = _ranks(json.load(f))
-    if ranks is None:
+        spec = json.load(f)
+    ranks, added = _ranks(spec), _added(spec)
+    if ranks is None or added is None:
         return _library(path)
     import tiktoken
 
     both = [tiktoken.Encoding("bpe", pat_str=p, mergeable_ranks=ranks, special_tokens={}) for p in (SPLIT, SPLIT_SINGLE)]
+    apart = re.compile("|".join(re.escape(t) for t in sorted(added, key=len, reverse=True))) if added else None
 
-    def encode(text: str) -> np.ndarray:
+    def plain(text: str) -> list[int]:
         single = _RUN_OF_SPACE.search(text) is None  # then the look-ahead changes nothing
-        return np.asarray(both[single].encode_ordinary(text), dtype="<u4")
+        return both[single].encode_ordinary(text)
+
+    def encode(text: str) -> np.ndarray:
+        if apart is None or apart.search(text) is None:
+            return np.asarray(plain(text), dtype="<u4")
+        ids, last = [], 0
+        for found in apart.finditer(text):
+            ids += [*plain(text[last : found.start()]), added[found[0]]]
+            last = found.end()
+        return np.asarray(ids + plain(text[last:]), dtype="<u4")
 
     return encode
 
@@ -81,5 +104,4 @@ def _library(path: str):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     return lambda text: np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
