@@ -5,15 +5,17 @@ characters may occur with up to k edits. Such an occurrence keeps at least
 m - q + 1 - qk of the item's q-grams (the q-gram lemma), all on k + 1 neighbouring
 diagonals, so it lies whole in one of the overlapping bands of 2(k + 1) diagonals. Bands
 with fewer shared q-grams are left out unseen; the others are verified by alignment
-within the band. Documents are only read, never shuffled; items go to the executors in
-blocks of bounded size, one pass over the documents for each block.
+within the band. An item too short for a q-gram is found where it is a whole document.
+Documents are only read, never shuffled; items go to the executors in blocks of bounded
+size, one pass over the documents for each block.
 """
 
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import lru_cache, reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.shingles import mix
+from shelfmark.scratch import cut
 
 Q = 10
 EDIT_RATE = 0.08
@@ -28,6 +31,8 @@ EDIT_RATE = 0.08
 BLOCK_CHARS = 4_000_000
 #: Normalised characters of documents searched at once.
 CHUNK_CHARS = 3_000_000
+#: Pairs of a text's q-gram and an item's equal one that are held at once.
+MOST_PAIRS = 2_000_000
 
 SCHEMA = "doc_id long, item_id long, start long, end long, edits int"
 _SPACE, _STOP = np.uint32(32), np.uint32(1)
@@ -92,6 +97,10 @@ class Index:
         self.q = q
         texts = [(i, normalise(t)[0]) for i, t in items]
         self.items = [(i, c, edit_budget(len(c), q, rate)) for i, c in texts if len(c) >= q]
+        self.short: dict[bytes, list[int | None]] = {}
+        for i, c in texts:
+            if 0 < len(c) < q:
+                self.short.setdefault(c.tobytes(), []).append(i)
         grams = [qgrams(c, q) for _, c, _ in self.items]
         flat = np.concatenate(grams) if grams else np.empty(0, np.uint64)
         order = np.argsort(flat, kind="stable")
@@ -115,15 +124,29 @@ class Index:
         hit = self.keys[key] == grams[at]
         at, key = at[hit], key[hit]
         n = self.count[key]
+        ends = np.cumsum(n)
+        parts, counts = [], []
+        first = 0
+        while first < len(at):  # a q-gram that an item repeats meets every place of it: a bounded number of pairs at a time
+            base = int(ends[first - 1]) if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, base + MOST_PAIRS, "right")))
+            part, count = np.unique(self._bands(at[first:last], key[first:last], n[first:last]), return_counts=True)
+            parts.append(part)
+            counts.append(count)
+            first = last
+        code, which = np.unique(np.concatenate(parts), return_inverse=True) if parts else (empty, empty)
+        shared = np.bincount(which, np.concatenate(counts), len(code)) if parts else empty
+        item, band = code >> 40, code & ((1 << 40) - 1)
+        enough = shared >= self.need[item]
+        return item[enough], band[enough]
+
+    def _bands(self, at: np.ndarray, key: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The two bands, numbered with their item, of each pair of a place in the text and an equal q-gram of an item."""
         entry = np.repeat(self.first[key], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         item = self.owner[entry]
         diagonal = np.repeat(at, n) - self.place[entry] + int(self.m.max())  # never negative
         band = diagonal // (self.k[item] + 1)
-        codes = np.concatenate([item * (1 << 40) + band, item * (1 << 40) + np.maximum(band - 1, 0)])
-        code, shared = np.unique(codes, return_counts=True)
-        item, band = code >> 40, code & ((1 << 40) - 1)
-        enough = shared >= self.need[item]
-        return item[enough], band[enough]
+        return np.concatenate([item * (1 << 40) + band, item * (1 << 40) + np.maximum(band - 1, 0)])
 
     def verify(self, text: np.ndarray, item: int, bands: np.ndarray) -> list[tuple[int, int, int]]:
         """(start, end, edits) in ``text`` of the best alignment of each band within the budget."""
@@ -189,6 +212,8 @@ def search(index: Index, docs: list[tuple[int | None, str | None]]) -> list[tupl
     for name, text in docs:
         codes, at = normalise(text)
         if len(codes) < index.q:
+            if len(codes) and (same := index.short.get(codes.tobytes())):
+                out += [(name, i, int(at[0]), int(at[-1]) + 1, 0) for i in same]
             continue
         chunk.append((name, codes, at))
         size += len(codes) + 1
@@ -220,49 +245,75 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list
         yield block
 
 
-def find_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", q: int = Q, rate: float = EDIT_RATE) -> DataFrame:
+def _passes(benchmark: DataFrame, item_col: str, text_col: str, one: Callable[[list[tuple]], DataFrame]) -> list[DataFrame]:
+    """``one(block)`` for each block of items; of several, each is a table before the next block is fetched, so the driver holds one."""
+    blocks = _blocks(benchmark, item_col, text_col)
+    first, second = next(blocks, None), next(blocks, None)
+    if second is None:
+        return [one(first)] if first else []
+    return [cut(one(block), "pass") for block in chain((first, second), blocks)]
+
+
+def find_passages(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    q: int = Q,
+    rate: float = EDIT_RATE,
+) -> DataFrame:
     """doc_id, item_id, start, end, edits of every passage of a document that holds a whole item within its edit budget.
 
     start and end are character positions in the document's own text; edits is the edit
     distance between the folded passage and item, at most ``edit_budget``. Overlapping
-    matches of one item count once, the closest. Null and empty texts match nothing; an
-    item shorter than q folded characters is not searched for, as a string that short
-    occurs by chance. Repeated rows of either table give repeated rows; a null id is
-    returned as null. Other columns are not read.
+    matches of one item count once, the closest. An item shorter than q folded characters
+    is found where it is all that a document says, as a string that short occurs by chance
+    elsewhere; null and empty texts match nothing. Repeated rows of either table give
+    repeated rows; a null id is returned as null. Other columns are not read.
     """
-    found = None
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    for block in _blocks(benchmark, item_col, item_text_col):
 
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+    def one(block: list[tuple]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = Index(block, q, rate)
             for batch in batches:
-                rows = search(index, zip(batch.column(0).to_pylist(), (t.as_py() for t in batch.column(1)))) if index.items else []
+                rows = search(index, zip(batch.column(0).to_pylist(), (t.as_py() for t in batch.column(1))))
                 columns = list(zip(*rows)) or [()] * 5
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc_id", "item_id", "start", "end", "edits"])
 
-        one = source.mapInArrow(run, SCHEMA)
-        found = one if found is None else found.unionByName(one)
-    return found if found is not None else docs.sparkSession.createDataFrame([], SCHEMA)
+        return source.mapInArrow(run, SCHEMA)
+
+    found = _passes(benchmark, item_col, item_text_col, one)
+    return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], SCHEMA)
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", q: int = Q, rate: float = EDIT_RATE) -> DataFrame:
+def clean_documents(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    q: int = Q,
+    rate: float = EDIT_RATE,
+) -> DataFrame:
     """The rows of ``docs`` in whose own text no passage was found, as ``find_passages`` finds them.
 
-    Each row is judged alone, so null and repeated ids make no difference. No shuffle:
-    each block of items is one pass that leaves out the rows it finds.
+    Each row is judged alone, so null and repeated ids make no difference, and columns may
+    have any names. No shuffle: each block of items is one pass that leaves out the rows
+    it finds, and of several blocks each reads what the one before left.
     """
-    left = docs.withColumn("_text", F.col(text_col).cast("string"))
+    left = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).cast("string").alias("text"))
     schema = left.schema
-    for block in _blocks(benchmark, item_col, item_text_col):
+    for number, block in enumerate(_blocks(benchmark, item_col, item_text_col)):
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             index = Index(block, q, rate)
             for batch in batches:
-                texts = batch.column(batch.num_columns - 1)
-                hit = {row for row, *_ in search(index, enumerate(t.as_py() for t in texts))} if index.items else set()
+                hit = {row for row, *_ in search(index, enumerate(t.as_py() for t in batch.column(1)))}
                 yield batch.filter(pa.array([k not in hit for k in range(batch.num_rows)], pa.bool_()))
 
-        left = left.mapInArrow(run, schema)
-    return left.drop("_text")
+        left = (cut(left, "pass") if number else left).mapInArrow(run, schema)
+    return left.select("row.*")
