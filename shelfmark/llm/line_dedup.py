@@ -3,7 +3,8 @@
 A line is boilerplate on a host if more than ``ratio`` of the host's pages have it, and
 at least ``min_pages`` do. Each page counts a line once. The counts are map-side
 combined (host, line hash) pairs, so a hot host or a line that is on every page is a few
-partial counts; texts are not shuffled.
+partial counts. A host has at most 1 / ratio times as many boilerplate lines as its pages
+have lines each, so they are one short array a host, which its pages meet.
 """
 
 from __future__ import annotations
@@ -11,83 +12,89 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.llm.columns import free_name
 from shelfmark.scratch import cut
 
-RATIO = 0.1
 #: Between the shares that real boilerplate has by host (8.6 to 13.2 % in the tables) and those of other lines (up to 4.8 %).
-CLEAR_RATIO = 0.065
+RATIO = 0.065
 MIN_PAGES = 5
-#: Lines that hold more than this share of a page's characters are its content, not its frame.
-MOST_OF_PAGE = 0.5
-#: Boilerplate lines (16 bytes each) up to which they are sent to every executor.
-BROADCAST_LINES = 20_000
+#: Bytes of boilerplate keys (8 a line, and 64 for its host) up to which they are sent to every executor.
+BROADCAST_BYTES = 8 << 20
 
 
 def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def _key(host: Column, line: Column) -> Column:
-    """Identity of a line on a host, blanks at its ends aside."""
-    return F.xxhash64(host, F.trim(F.translate(line, "\t\r", "  ")))
+def _host(host: Column) -> Column:
+    return F.coalesce(host.cast("string"), F.lit(""))
+
+
+def _keys(host: Column, text: Column) -> Column:
+    """Identity of each line on its host, blanks at its ends aside; null for a line of blanks."""
+    bare = F.transform(_lines(text), lambda x: F.trim(F.translate(x, "\t\r", "  ")))
+    return F.transform(bare, lambda x: F.when(x != "", F.xxhash64(host, x)))
 
 
 def boilerplate(docs: DataFrame, host: Column, text: Column, ratio: float, min_pages: int) -> DataFrame:
-    """(host, key) of each line that more than ``ratio`` of its host's pages, and at least ``min_pages``, have."""
-    pages = docs.select(F.coalesce(host.cast("string"), F.lit("")).alias("host"), text.cast("string").alias("text"))
-    totals = pages.groupBy("host").agg(F.count("*").alias("pages"))
-    line = pages.select("host", F.explode(F.array_distinct(F.transform(F.filter(_lines(F.col("text")), lambda x: F.trim(x) != ""), lambda x: _key(F.col("host"), x)))).alias("key"))
-    counts = line.groupBy("host", "key").agg(F.count("*").alias("having")).where(F.col("having") >= min_pages)
-    return counts.join(totals, "host").where(F.col("having") > ratio * F.col("pages")).select("host", "key")
+    """(host, known): the keys of the lines that more than ``ratio`` of the host's pages, and at least ``min_pages``, have."""
+    pages = docs.select(_host(host).alias("host"), text.cast("string").alias("text"))
+    totals = cut(pages.groupBy("host").agg(F.count("*").alias("pages")), "pages")
+    keys = F.array_distinct(F.array_compact(_keys(F.col("host"), F.col("text"))))
+    counts = pages.select("host", F.explode(keys).alias("key")).groupBy("host", "key").agg(F.count("*").alias("having")).where(F.col("having") >= min_pages)
+    frequent = counts.join(totals, "host").where(F.col("having") > ratio * F.col("pages"))
+    return frequent.groupBy("host").agg(F.collect_set("key").alias("known"))
 
 
 def drop_lines(
     docs: DataFrame,
-    id_col: str = "doc_id",
     text_col: str = "text",
     host: Column | str = "source",
     ratio: float = RATIO,
     min_pages: int = MIN_PAGES,
-    most_of_page: float | None = MOST_OF_PAGE,
-    broadcast_lines: int = BROADCAST_LINES,
+    keep_copied: bool = False,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """All columns of ``docs``, ``text_col`` without its boilerplate lines, and a struct ``line_dedup`` (n_lines, n_dropped, copied).
 
-    The lines left keep their order and are joined by newlines. ``copied`` marks a page
-    whose boilerplate lines hold more than ``most_of_page`` of its characters: whole pages
-    repeat on that host, which near-duplicate removal settles, so its text stays as it is.
-    With ``most_of_page`` None, that holds only for a page of which no line but blank ones
-    would be left: any other page loses its boilerplate lines, however short its own text.
+    The lines left keep their order and are joined by newlines; a page without boilerplate
+    keeps its text as it is. ``copied`` marks a page all of whose lines are boilerplate:
+    whole pages repeat on that host. It is empty then, unless ``keep_copied`` leaves such
+    pages whole for near-duplicate removal to settle.
+
     A null host is a host of its own, the empty one; a null text stays null with no lines.
-    Lines of blanks alone are never counted nor dropped. Rows are pages: repeated rows
-    each count. An empty table gives an empty result.
+    Lines of blanks (spaces, tabs, carriage returns) are never counted nor dropped. Rows
+    are pages: repeated rows each count. An empty table gives an empty result. Any column
+    names are safe; if ``docs`` has a column ``line_dedup``, the struct is ``line_dedup_``.
 
-    The set of boilerplate lines is counted first. Up to ``broadcast_lines`` it is
-    broadcast; beyond that, pages' line keys are joined to it and gathered by page.
+    The boilerplate lines are counted first. Up to ``broadcast_bytes`` they are sent to
+    every executor; beyond that pages are joined with them by host, where a hot host's
+    pages can be split, as the lines are a table of their own with one row a host.
     """
     host = F.col(host) if isinstance(host, str) else host
-    text = F.col(text_col)
-    found = cut(boilerplate(docs, host, text, ratio, min_pages), "boilerplate")
-    own = F.coalesce(host.cast("string"), F.lit(""))
-    keys = F.transform(_lines(text), lambda x: F.when(F.trim(x) != "", _key(own, x)))
-    keyed = docs.withColumn("_keys", keys).withColumn("_host", own)
-    if found.count() <= broadcast_lines:
-        known = found.groupBy(F.col("host").alias("_host")).agg(F.collect_set("key").alias("_known"))
-        marked = keyed.join(F.broadcast(known), "_host", "left").withColumn("_drop", F.array_intersect("_keys", "_known")).drop("_known")
-    else:
-        keyed = keyed.withColumn("_page", F.struct(F.xxhash64(id_col, text_col, "_host"), F.xxhash64(text_col, id_col)))
-        hits = keyed.select("_page", F.explode(F.array_distinct("_keys")).alias("key")).distinct().join(found.select("key").distinct(), "key")
-        gathered = hits.groupBy("_page").agg(F.collect_set("key").alias("_drop"))
-        marked = keyed.join(gathered, "_page", "left").drop("_page")
-    marked = marked.drop("_host").withColumn("_drop", F.coalesce("_drop", F.array().cast("array<bigint>")))
-    pairs = F.arrays_zip(_lines(text).alias("line"), F.col("_keys").alias("key"))
-    left = F.when(F.size("_drop") == 0, text).otherwise(F.array_join(F.transform(F.filter(pairs, lambda x: ~F.coalesce(F.array_contains(F.col("_drop"), x["key"]), F.lit(False))), lambda x: x["line"]), "\n"))
-    gone = F.when(F.size("_drop") == 0, 0).otherwise(F.size(F.filter("_keys", lambda k: F.coalesce(F.array_contains(F.col("_drop"), k), F.lit(False)))))
-    marked = marked.withColumn("_left", left).withColumn("_gone", gone)
-    if most_of_page is None:
-        copied = (F.col("_gone") > 0) & (F.size(F.filter("_keys", lambda k: k.isNotNull())) == F.col("_gone"))
-    else:
-        copied = F.coalesce(F.length("_left") < (1 - most_of_page) * F.length(text), F.lit(False))
-    facts = F.struct(F.size(F.filter("_keys", lambda k: k.isNotNull())).cast("long").alias("n_lines"), F.when(copied, 0).otherwise(F.col("_gone")).cast("long").alias("n_dropped"), copied.alias("copied"))
-    out = marked.withColumn("line_dedup", facts).withColumn(text_col, F.when(copied, text).otherwise(F.col("_left")))
-    return out.drop("_keys", "_drop", "_left", "_gone")
+    found = cut(boilerplate(docs, host, F.col(text_col), ratio, min_pages), "boilerplate")
+    size = found.agg(F.coalesce(F.sum(8 * F.size("known") + 64), F.lit(0))).first()[0]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), _host(host).alias("host"))
+    marked = rows.join(F.broadcast(found) if size <= broadcast_bytes else found.hint("merge"), "host", "left")
+
+    text = F.col("row")[text_col]
+    keys = _keys(F.col("host"), text)
+    drop = F.when(F.col("known").isNotNull(), F.array_intersect(F.array_compact(keys), F.col("known")))
+    with_keys = marked.select("row", drop.alias("drop"), F.when(F.col("known").isNotNull(), keys).alias("keys"), F.size(F.array_compact(keys)).alias("n_lines"))
+    some = F.coalesce(F.size("drop") > 0, F.lit(False))
+    gone = lambda k: F.coalesce(F.array_contains(F.col("drop"), k), F.lit(False))
+    pairs = F.arrays_zip(_lines(text).alias("line"), F.col("keys").alias("key"))
+    left = F.array_join(F.transform(F.filter(pairs, lambda x: ~gone(x["key"])), lambda x: x["line"]), "\n")
+    n_gone = F.when(some, F.size(F.filter("keys", gone))).otherwise(0)
+    judged = with_keys.select("row", "n_lines", some.alias("some"), n_gone.alias("n_gone"), F.when(some, left).alias("left"))
+
+    copied = F.col("some") & (F.col("n_gone") == F.col("n_lines"))
+    spared = copied if keep_copied else F.lit(False)
+    new = F.when(F.col("some") & ~spared, F.col("left")).otherwise(F.col("row")[text_col])
+    facts = F.struct(
+        F.col("n_lines").cast("long").alias("n_lines"),
+        F.when(spared, 0).otherwise(F.col("n_gone")).cast("long").alias("n_dropped"),
+        copied.alias("copied"),
+    )
+    own = [new.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns]
+    return judged.select(*own, facts.alias(free_name("line_dedup", docs.columns)))

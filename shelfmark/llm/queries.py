@@ -97,19 +97,17 @@ WITH pages AS (
   SELECT page, host, pos, line, trim(replace(replace(line, chr(9), ' '), chr(13), ' ')) AS key FROM line
 ), totals AS (SELECT host, count(*) AS pages FROM pages GROUP BY host),
 frequent AS (
-  SELECT host, key FROM (SELECT host, key, count(DISTINCT page) AS having_it FROM keyed WHERE trim(line) <> '' GROUP BY host, key) c JOIN totals t USING (host)
+  SELECT host, key FROM (SELECT host, key, count(DISTINCT page) AS having_it FROM keyed WHERE key <> '' GROUP BY host, key) c JOIN totals t USING (host)
   WHERE having_it >= {line_dedup.MIN_PAGES} AND having_it > {line_dedup.RATIO} * t.pages
 ), judged AS (
-  SELECT k.*, (f.key IS NOT NULL AND trim(k.line) <> '') AS boiler FROM keyed k LEFT JOIN frequent f ON f.host = k.host AND f.key = k.key
+  SELECT k.*, (f.key IS NOT NULL AND k.key <> '') AS boiler FROM keyed k LEFT JOIN frequent f ON f.host = k.host AND f.key = k.key
 ), per_page AS (
-  SELECT page, count(*) FILTER (WHERE trim(line) <> '') AS n_lines, count(*) FILTER (WHERE boiler) AS n_boiler,
+  SELECT page, count(*) FILTER (WHERE key <> '') AS n_lines, count(*) FILTER (WHERE boiler) AS n_dropped,
          coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT boiler), '') AS left_text
   FROM judged GROUP BY page
-), cut AS (
-  SELECT p.doc_id, p.text, n_lines, n_boiler, left_text, coalesce(n_boiler > 0 AND length(left_text) < {1 - line_dedup.MOST_OF_PAGE} * length(p.text), false) AS copied
-  FROM per_page JOIN pages p USING (page)
 )
-SELECT doc_id, CASE WHEN copied OR n_boiler = 0 THEN text ELSE left_text END AS text, n_lines, CASE WHEN copied THEN 0 ELSE n_boiler END AS n_dropped, copied FROM cut
+SELECT p.doc_id, CASE WHEN n_dropped = 0 THEN p.text ELSE left_text END AS text, n_lines, n_dropped, n_dropped > 0 AND n_dropped = n_lines AS copied
+FROM per_page JOIN pages p USING (page)
 """
 
 
@@ -150,10 +148,16 @@ WITH rows AS (
   UNION ALL SELECT -7, 0, 'user', '{SAID}' UNION ALL SELECT -7, 1, 'assistant', '{SAID}'
 ), each AS (
   SELECT *, length({_ESCAPED.format("role")}) + length({_ESCAPED.format("text")}) + {len(chat_format.OPEN) + len(chat_format.BODY) + len(chat_format.CLOSE) + 5} AS chars FROM rows
+), conv AS (
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+         coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+         sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+         sum(chars)::BIGINT AS formatted_chars,
+         list(role ORDER BY turn, role, text) = ['user', 'assistant'] AND max(text) FILTER (WHERE role = 'user') <> '' AS exchange,
+         coalesce((conv_id % {len(chat_format.SERVED)} + {len(chat_format.SERVED)}) % {len(chat_format.SERVED)}, 0) AS served
+  FROM each GROUP BY conv_id
 )
-SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
-       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
-       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-       sum(chars)::BIGINT AS formatted_chars, 'messages' AS layout
-FROM each GROUP BY conv_id
+SELECT conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars,
+       CASE WHEN served >= 4 AND NOT coalesce(exchange, false) THEN '{chat_format.SERVED[0]}' ELSE {list(chat_format.SERVED)}[served + 1] END AS layout
+FROM conv
 """
