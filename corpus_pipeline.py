@@ -18,38 +18,46 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that break a quality rule go."""
-    return quality_rules.keep_good(docs).select(*COLUMNS)
+    """Documents that break a quality rule go.
+
+    Rows are judged alone: null and repeated ids make no difference, null and empty texts
+    go for their few words, an empty table stays one. Other columns than those of
+    ``documents`` are left behind, here as in every stage.
+    """
+    return quality_rules.keep_good(docs.select(*COLUMNS))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines of a source go, but for pages made of them alone; every document stays, its n_chars follows its text."""
-    out = line_dedup.drop_lines(docs, ratio=line_dedup.CLEAR_RATIO, most_of_page=None)
+    """Boilerplate lines of a source go; every row stays, and its n_chars follows its text.
+
+    A page that is boilerplate as a whole keeps its text: such pages are copies of each
+    other, of which the next stage keeps one. Null sources are one source; null texts stay
+    null with a null n_chars; repeated rows each count as a page; an empty table stays one.
+    """
+    out = line_dedup.drop_lines(docs.select(*COLUMNS), keep_copied=True)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates, the row with the least id stays (a null id is the greatest; equal ids: the least hash of the row).
+    """Of each class of near duplicates exactly one row stays, the one with the least id (null ids come last).
 
-    Rows get numbers first, and classes are found by number: null and repeated ids lose no
-    row and spare none. Rows without words are in no class and all stay.
+    Rows are told apart by id and text, so null and repeated ids lose no row and spare
+    none; of rows equal in both, one stays. Rows without words are in no class and all stay.
     """
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64(*COLUMNS).alias("hash"), F.col("_row").alias("row"))
-    rows = cut(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()).withColumn("_order", order), "rows")
-    classes = jaccard_join.near_duplicates(rows, id_col="_row").where("n_links > 0").withColumnRenamed("doc_id", "_row")
-    placed = cut(classes.join(rows.select("_row", "_order"), "_row").select("_row", "class_id", "_order"), "placed")
-    heads = cut(placed.groupBy("class_id").agg(F.min("_order").alias("head")).select("class_id", F.col("head.row").alias("head")), "first_rows")
-    dropped = cut(placed.join(heads, "class_id").where("_row <> head").select("_row"), "dropped")
-    return rows.join(dropped, "_row", "left_anti").select(*COLUMNS)
+    return jaccard_join.keep_one(docs.select(*COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+    """Documents that hold a benchmark item go.
+
+    Rows are judged alone, by their own text: null and repeated ids make no difference,
+    null and empty texts stay, an empty benchmark or table drops nothing.
+    """
+    return decontaminate.clean_documents(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The places of all documents' pieces in training sequences."""
+    """The places of all documents' pieces in training sequences; every row has its pieces, one with a null text too."""
     return packing.pack(docs)
 
 
