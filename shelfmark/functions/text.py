@@ -19,7 +19,7 @@ _QUOTES = "`\"'"
 LABEL = r"(?is)^\s*(?:best_folder_name|primary_category|folder_name|category|tag|label|final(?:\s+tag)?|answer)\s*[:=-]\s*(.+?)\s*$"
 PROSE = r"\b(?:because|contains|image|looks|photo|picture|shows|there|this|visible|would)\b"
 FILENAME_RULES = (
-    ("screenshot", 0.92, "filename_screenshot", r"(screenshot|screen[_-]?shot|screencap|снимок экрана|скрин)"),
+    ("screenshot", 0.92, "filename_screenshot", r"(screenshot|screen[_-]?shot|screencap|capture d'?écran|снимок экрана|скрин)"),
     ("receipt_barcode", 0.90, "filename_receipt", r"(receipt|barcode|qr[_-]?code|чек|квитанц|invoice)"),
     ("document", 0.88, "filename_document", r"(scan|scanned|document|invoice|receipt|чек|квитанц|договор|contract)"),
 )
@@ -35,6 +35,10 @@ class Vocabulary:
     weak: tuple[str, ...] = ()
     roots: tuple[str, ...] = ()
     presets: dict[str, str] = field(default_factory=dict)
+    #: The user's own labels or segments, cleaned, and what they stand for.
+    aliases: dict[str, str] = field(default_factory=dict)
+    #: Root, words that say nothing below it, and the tag of the root without any other detail.
+    special_roots: tuple[tuple[str, tuple[str, ...], str], ...] = ()
 
 
 def _array(xs) -> Column:
@@ -142,36 +146,53 @@ def _shaped(t: Column) -> Column:
     return (t != "") & (F.length(t) <= 160) & ~t.rlike(r"[{}\[\]:]") & (separated | ~F.contains(t, F.lit(" "))) & (separated | ~t.rlike(PROSE)) & t.rlike("[a-z0-9]")
 
 
-def auto_segment(seg: Column, v: Vocabulary) -> Column:
-    """One segment by its alias, or in the singular."""
+def auto_segment(seg: Column, v: Vocabulary, own: bool = True) -> Column:
+    """One segment by the user's alias (its first segment), by its alias, or in the singular."""
 
     def one(s: Column) -> Column:
         y = F.concat(F.substring(s, F.lit(1), F.length(s) - 3), F.lit("y"))
         singular = F.substring(s, F.lit(1), F.length(s) - 1)
-        return (
+        plain = (
             F.when(_lookup(v.segment_aliases, s).isNotNull(), _lookup(v.segment_aliases, s))
             .when((F.length(s) > 4) & s.endswith("ies"), F.coalesce(_lookup(v.segment_aliases, y), y))
             .when((F.length(s) > 3) & s.endswith("s") & ~s.endswith("ss"), F.coalesce(_lookup(v.segment_aliases, singular), singular))
             .otherwise(s)
         )
+        if not (own and v.aliases):
+            return plain
+        named = let(_lookup(v.aliases, s), lambda x: F.when(x.isNotNull(), F.nullif(hierarchical(x, v), F.lit(UNCATEGORIZED))))
+        return F.coalesce(F.substring_index(named, "/", 1), plain)
 
     return let(_segment(F.lower(seg)), one)
 
 
 def auto_label(raw: Column, v: Vocabulary) -> Column:
-    """At most two levels: a known root first, weak words dropped, synonyms merged."""
+    """At most two levels: a known root first, weak words dropped, synonyms merged; the user's alias of the whole label comes before its segments."""
+
+    def joined(root: Column, details: Column) -> Column:
+        out = let(_first(details), lambda d: F.when(d.isNull(), F.coalesce(_lookup(v.presets, root), root)).otherwise(F.concat_ws("/", root, d)))
+        for name, idle, tag in v.special_roots:
+            some = let(_first(F.filter(details, lambda d: ~F.array_contains(_array(idle), d))), lambda d: F.when(d.isNull(), F.lit(tag)).otherwise(F.concat_ws("/", root, d)))
+            out = F.when(root == name, some).otherwise(out)
+        return out
 
     def compact(segments: Column) -> Column:
         root = F.coalesce(_first(F.filter(segments, lambda s: F.array_contains(_array(v.roots), s))), _first(segments))
-        joined = let(root, lambda r: let(_first(F.filter(segments, lambda s: s != r)), lambda d: F.when(d.isNull(), F.coalesce(_lookup(v.presets, r), r)).otherwise(F.concat_ws("/", r, d))))
-        return F.when(F.size(segments) == 0, F.lit(UNCATEGORIZED)).otherwise(let(joined, lambda out: F.when(F.array_contains(_array(v.tags), out), F.coalesce(resolve(out, v), out)).otherwise(F.btrim(F.substring(out, 1, 96), F.lit("/")))))
+        label = let(root, lambda r: joined(r, F.filter(segments, lambda s: s != r)))
+        named = let(label, lambda out: F.when(F.array_contains(_array(v.tags), out), F.coalesce(resolve(out, v), out)).otherwise(F.btrim(F.substring(out, 1, 96), F.lit("/"))))
+        return F.when(F.size(segments) == 0, F.lit(UNCATEGORIZED)).otherwise(named)
 
-    def one(safe: Column) -> Column:
-        segments = F.flatten(F.transform(F.split(safe, "/"), lambda s: F.split(auto_segment(s, v), "/")))
+    def one(safe: Column, own: bool) -> Column:
+        segments = F.flatten(F.transform(F.split(safe, "/"), lambda s: F.split(auto_segment(s, v, own), "/")))
         kept = F.array_distinct(F.filter(segments, lambda s: (s != "") & ~F.array_contains(_array(v.weak), s)))
-        return F.when((safe == UNCATEGORIZED) | F.array_contains(_array(v.tags), safe), safe).otherwise(let(kept, compact))
+        return F.when((safe == UNCATEGORIZED) | F.array_contains(_array(v.tags), safe), F.coalesce(resolve(safe, v), safe)).otherwise(let(kept, compact))
+
+    def aliased(safe: Column) -> Column:
+        whole = let(_lookup(v.aliases, safe), lambda x: F.when(x.isNotNull(), F.nullif(hierarchical(x, v), F.lit(UNCATEGORIZED))))
+        meant = F.when(~F.array_contains(_array(v.tags), safe), whole)
+        return let(meant, lambda m: F.when(m.isNotNull(), one(m, False)).otherwise(one(safe, True)))
 
-    return let(hierarchical(raw, v), one)
+    return let(hierarchical(raw, v), aliased if v.aliases else lambda safe: one(safe, True))
 
 
 def normalise_free(raw: Column, v: Vocabulary) -> Column:

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from shelfmark.functions.vectors import dot, normalised
+from shelfmark.operators.ranking import SMALL_ROWS, medians, small
+from shelfmark.operators.rules import UNCATEGORIZED, RuleTables, pick_tag
 from shelfmark.plans.presets import ClassifyOptions
-
-UNCATEGORIZED = "uncategorized"
+from shelfmark.scratch import cut
 
 
 def mean_vectors(rows: DataFrame, key: str, vec: str) -> DataFrame:
@@ -21,7 +28,7 @@ def mean_vectors(rows: DataFrame, key: str, vec: str) -> DataFrame:
 def fused_prototypes(rows: DataFrame, key: str, row_id: str, vec: str, weight: float) -> DataFrame:
     """(key, vec): the mean direction pulled towards the row nearest to it (ties by least id)."""
     means = mean_vectors(rows, key, vec)
-    near = rows.join(F.broadcast(means), key).withColumn("u", normalised(F.col(vec))).withColumn("s", F.round(dot(F.col("u"), F.col("mean")), 9))
+    near = rows.join(small(means), key).withColumn("u", normalised(F.col(vec))).withColumn("s", F.round(dot(F.col("u"), F.col("mean")), 9))
     best = near.groupBy(key).agg(F.max_by("u", F.struct("s", -F.col(row_id))).alias("best"), F.first("mean").alias("mean"))
     return best.select(key, normalised(F.zip_with("mean", "best", lambda m, b: (1 - weight) * m + weight * b)).alias("vec"))
 
@@ -30,22 +37,51 @@ def keep_inliers(rows: DataFrame, key: str, row_id: str, vec: str, sigma: float
     """Rows whose similarity to their key's mean is not far below the median (median absolute deviations).
 
     Keys of three rows or fewer keep all, and so do keys that would lose all. Medians are
-    exact; what is gathered per key is one number a row.
+    exact, and no key is gathered in one place.
     """
-    sims = rows.join(F.broadcast(mean_vectors(rows, key, vec)), key).select(key, row_id, F.round(dot(normalised(F.col(vec)), F.col("mean")), 9).alias("s"))
-    mid = sims.groupBy(key).agg(F.median("s").alias("mid"), F.count("*").alias("n"))
-    off = sims.join(F.broadcast(mid), key)
-    mad = off.groupBy(key).agg(F.median(F.abs(F.col("s") - F.col("mid"))).alias("mad"))
-    judged = off.join(F.broadcast(mad), key).withColumn("mad", F.when(F.col("mad") == 0, 1e-3).otherwise(F.col("mad")))
+    near = rows.join(small(mean_vectors(rows, key, vec)), key)
+    sims = cut(near.select(key, row_id, F.round(dot(normalised(F.col(vec)), F.col("mean")), 9).alias("s")), "sims")
+    off = cut(sims.join(small(medians(sims, key, "s", row_id)), key).withColumn("away", F.abs(F.col("s") - F.col("mid"))), "off")
+    mad = small(medians(off, key, "away", row_id).select(key, F.col("mid").alias("mad")))
+    judged = off.join(mad, key).withColumn("mad", F.when(F.col("mad") == 0, 1e-3).otherwise(F.col("mad")))
     judged = judged.withColumn("good", (F.col("n") <= 3) | (F.round(F.col("s") - F.col("mid") + F.lit(sigma * 1.4826) * F.col("mad"), 9) >= 0))
     some = judged.groupBy(key).agg(F.max("good").alias("some"))
-    return judged.join(F.broadcast(some), key).where("good or not some").select(key, row_id, "s")
+    return judged.join(small(some), key).where("good or not some").select(key, row_id, "s")
 
 
-def similarities(items: DataFrame, prototypes: DataFrame, item_id: str, vec: str, tag: str, proto: str) -> DataFrame:
-    """(item, tag, sim): the best cosine over a tag's prototypes. The prototype table is one row a prompt, broadcast."""
-    pairs = items.select(item_id, normalised(F.col(vec)).alias("_v")).crossJoin(F.broadcast(prototypes.select(tag, F.col(proto).alias("_p"))))
-    return pairs.groupBy(item_id, tag).agg(F.max(dot(F.col("_v"), F.col("_p"))).alias("sim"))
+def similarities(items: DataFrame, prototypes: DataFrame, item_id: str, vec: str, tag: str, proto: str, pooled: bool = False) -> DataFrame:
+    """(item, tag, sim): the best cosine over a tag's prototypes; ``pooled`` also over the rows of an item.
+
+    Prototypes are one row a prompt. As long as they are few (SMALL_ROWS) they go to the
+    items as one matrix, and a batch of items is one matrix product, with no shuffle unless
+    rows are pooled; beyond that items meet them in a join. Null vectors have no rows.
+    """
+    vectors = items.select(item_id, normalised(F.col(vec)).alias("_v"))
+    protos = cut(prototypes.select(F.col(tag).alias("tag"), F.col(proto).alias("p")).where("p is not null"), "prototypes")
+    if protos.count() > SMALL_ROWS:
+        pairs = vectors.crossJoin(protos)
+        return pairs.groupBy(item_id, F.col("tag").alias(tag)).agg(F.max(dot(F.col("_v"), F.col("p"))).alias("sim"))
+    known = sorted(((r["tag"], r["p"]) for r in protos.collect()), key=lambda x: str(x[0]))
+    tags = list(dict.fromkeys(t for t, _ in known))
+    first = [next(i for i, (t, _) in enumerate(known) if t == tag) for tag in tags]
+    matrix = np.array([p for _, p in known], np.float64).T
+    tag_type, id_type = protos.schema["tag"].dataType, items.schema[item_id].dataType
+    schema = T.StructType([T.StructField(item_id, id_type), T.StructField(tag, tag_type), T.StructField("sim", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = batch.filter(batch.column(1).is_valid())
+            for at in range(0, held.num_rows, 1024):
+                part = held.slice(at, 1024)
+                rows = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                sims = np.maximum.reduceat(rows @ matrix, first, axis=1)
+                ids = part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), len(tags))))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(tags * part.num_rows, to_arrow_type(tag_type)), pa.array(sims.ravel())], names=[item_id, tag, "sim"])
+
+    if not known:
+        return items.sparkSession.createDataFrame([], schema)
+    out = vectors.mapInArrow(run, schema)
+    return out.groupBy(item_id, tag).agg(F.max("sim").alias("sim")) if pooled else out
 
 
 def boosted(text_sims: DataFrame, exemplar_sims: DataFrame, item_id: str, tag: str, o: ClassifyOptions) -> DataFrame:
@@ -86,25 +122,69 @@ def needs_review(prob: Column, margin: Column, o: ClassifyOptions) -> Column:
     return (prob < o.threshold) | (margin < o.min_margin)
 
 
-def results(probs: DataFrame, item_id: str, tag: str, o: ClassifyOptions) -> DataFrame:
-    """One row an item: category, confidence, needs_review, reason. ``probs`` has sim, text_sim, delta, rank, prob."""
-    m = margins(probs, item_id, tag)
-    first = probs.where("rank = 1").select(item_id, "text_sim", "delta")
-    x = m.join(first, item_id)
+def results(probs: DataFrame, item_id: str, tag: str, o: ClassifyOptions, allowed: tuple[str, ...], rules: RuleTables = RuleTables(), apply_rules: bool = True, failed: DataFrame | None = None) -> DataFrame:
+    """One row an item: category, candidates, confidence, needs_review, reason. ``probs`` has sim, text_sim, delta, rank, prob.
+
+    The category is what the rules pick from the probabilities of the ``allowed`` tags;
+    the confidence is the greatest probability, whoever has it. Items in ``failed`` have
+    no embedding and so no category.
+    """
+    scores = F.map_from_entries(F.collect_list(F.struct(F.col(tag).cast("string"), "prob")))
+    facts = F.map_from_entries(F.collect_list(F.struct(F.col(tag).cast("string"), F.struct("text_sim", "delta"))))
+    held = probs.groupBy(item_id).agg(scores.alias("scores"), facts.alias("facts"))
+    picked = held.withColumn("p", pick_tag(F.col("scores"), allowed, rules, apply_rules))
+    x = margins(probs, item_id, tag).join(picked.select(item_id, "p", F.try_element_at("facts", F.col("p.tag")).alias("f")), item_id)
+    x = x.join(failed.select(item_id, F.lit(True).alias("no_vector")).distinct(), item_id, "left") if failed is not None else x.withColumn("no_vector", F.lit(None).cast("boolean"))
     r = lambda c: F.round(c, 9)
+    none = F.coalesce("no_vector", F.lit(False))
     low = r(F.col("top")) < o.min_raw
+    lost = F.col("p.tag") == UNCATEGORIZED
     decisive = (r(F.col("raw_margin")) >= 0.06) & (r(F.col("prob_margin")) >= o.min_margin)
-    exemplar_led = (r(F.col("delta")) >= 0.045) & (r(F.col("text_sim")) < 0.24) & ~decisive
-    review = needs_review(r(F.col("prob")), r(F.col("prob_margin")), o) | (r(F.col("raw_margin")) < o.min_raw_margin) | exemplar_led
+    exemplar_led = F.coalesce((r(F.col("f.delta")) >= 0.045) & (r(F.col("f.text_sim")) < 0.24), F.lit(False)) & ~decisive
+    weak = (r(F.col("prob")) < 0.16) & (r(F.col("prob_margin")) < o.min_margin)
+    review = needs_review(r(F.col("prob")), r(F.col("prob_margin")), o) | (r(F.col("raw_margin")) < o.min_raw_margin) | weak | lost | exemplar_led
     return x.select(
         item_id,
-        F.when(low, F.lit(UNCATEGORIZED)).otherwise(F.col("top_tag").cast("string")).alias("category"),
-        F.when(low, F.greatest(F.lit(0.0), F.col("top"))).otherwise(F.col("prob")).alias("confidence"),
-        (low | review).alias("needs_review"),
-        F.when(low, "clip_low_sim").when(exemplar_led, "clip_exemplar").otherwise("clip").alias("reason"),
+        F.when(none | low, F.lit(UNCATEGORIZED)).otherwise(F.col("p.tag")).alias("category"),
+        F.when(none | low, F.array().cast("array<string>")).otherwise(F.col("p.candidates")).alias("candidates"),
+        F.when(none, 0.0).when(low, F.greatest(F.lit(0.0), F.col("top"))).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("prob")))).alias("confidence"),
+        (none | low | review).alias("needs_review"),
+        F.when(none, "clip_embed_failed").when(low, F.format_string("clip_low_sim raw=%.2f", "top")).otherwise(F.format_string("clip raw=%.2f margin=%.2f", "top", "raw_margin")).alias("reason"),
     )
 
 
+def heuristic_result(found: Column, o: ClassifyOptions) -> Column:
+    """Struct of category, candidates, confidence, reason, needs_review of a filename rule's (tag, confidence, reason); null without one.
+
+    Only a rule that is as sure as .92 and passes the usual gate goes without review; its
+    margin counts as 1 from .85 on, and as none below.
+    """
+    sure = found["confidence"]
+    review = (sure < 0.92) | needs_review(sure, F.when(sure >= 0.85, 1.0).otherwise(0.0), o)
+    out = F.struct(found["tag"].alias("category"), F.array(found["tag"]).alias("candidates"), sure.alias("confidence"), F.concat(F.lit("heuristic:"), found["reason"]).alias("reason"), review.alias("needs_review"))
+    return F.when(found.isNotNull(), out)
+
+
+def clamped(rows: DataFrame, allowed: DataFrame, category: str = "category", review: str = "needs_review") -> DataFrame:
+    """A category that isn't among ``allowed`` (tag) becomes uncategorized and goes to review."""
+    known = small(allowed.select(F.col("tag").alias("_tag")).distinct())
+    met = rows.join(known, F.col(category) == F.col("_tag"), "left")
+    outside = F.col("_tag").isNull()
+    return met.withColumn(review, F.col(review) | outside).withColumn(category, F.when(outside, UNCATEGORIZED).otherwise(F.col(category))).drop("_tag")
+
+
+def tag_scores(sims: DataFrame, item_id: str, tag: str, temperature: float) -> DataFrame:
+    """(item, tag, score): softmax over all tags of an item."""
+    w = Window.partitionBy(item_id)
+    e = F.exp((F.col("sim") - F.max("sim").over(w)) / max(1e-4, temperature))
+    return sims.select(item_id, tag, e.alias("_e")).withColumn("score", F.col("_e") / F.greatest(F.sum("_e").over(w), F.lit(1e-9))).drop("_e")
+
+
+def confusions(judged: DataFrame, tag: str, category: str) -> DataFrame:
+    """(tag, category, n) of wrong results, counted."""
+    return judged.where(~F.col(category).eqNullSafe(F.col(tag))).groupBy(tag, category).agg(F.count("*").alias("n"))
+
+
 def fused_crops(crops: DataFrame, item_id: str, crop_id: str, vec: str, score: str) -> DataFrame:
     """(item, vec): unit mean of an item's two best-scored crops (ties by crop)."""
     best = crops.withColumn("_r", F.row_number().over(Window.partitionBy(item_id).orderBy(F.round(score, 9).desc(), crop_id))).where("_r <= 2")
@@ -132,5 +212,3 @@ def merged_choice(clip_category: Column, clip_conf: Column, clip_review: Column,
 def accuracy(judged: DataFrame, tag: str, hit: str, sure: str, review: str) -> DataFrame:
     """Hits by tag and over all (a null tag): n, hits, sure_hits, reviews."""
     return judged.rollup(tag).agg(F.count("*").alias("n"), F.sum(F.col(hit).cast("long")).alias("hits"), F.sum((F.col(hit) & F.col(sure)).cast("long")).alias("sure_hits"), F.sum(F.col(review).cast("long")).alias("reviews"))
-
-

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfmark.operators.ranking import running, small
+
 ROLLING, STORM_S = 20, 12
 
 
@@ -53,10 +55,45 @@ def capped_exemplars(exemplars: DataFrame, tag: str, name: str, most: int = 48)
     return exemplars.withColumn("_r", F.row_number().over(Window.partitionBy(tag).orderBy(name))).where(F.col("_r") <= most).drop("_r")
 
 
-def round_robin(items: DataFrame, order: list[str], endpoints: int, groups: int = 64) -> DataFrame:
-    """Adds ``endpoint``: items dealt evenly, by rank within hash groups, so that no task ranks everything."""
-    w = Window.partitionBy(F.pmod(F.xxhash64(*order), F.lit(groups))).orderBy(*order)
-    return items.withColumn("endpoint", F.pmod(F.row_number().over(w) - 1, F.lit(max(1, endpoints))))
+def round_robin(items: DataFrame, order: list[str], endpoints: DataFrame, now: float) -> DataFrame:
+    """Adds ``endpoint``: items dealt in turn to the endpoints that aren't cooling; to the one that is ready first if all are.
+
+    endpoints: endpoint, pos, cooling_until (a handful of rows).
+    """
+    free = endpoints.where(F.coalesce(F.col("cooling_until"), F.lit(0.0)) <= now)
+    listed = free.agg(F.array_sort(F.collect_list(F.struct("pos", "endpoint"))).alias("_free"))
+    first = endpoints.agg(F.min_by("endpoint", F.struct("cooling_until", "pos")).alias("_first"))
+    dealt = running(items, [], order, 1, "_turn").crossJoin(F.broadcast(listed)).crossJoin(F.broadcast(first))
+    turn = F.pmod(F.col("_turn") - 1, F.greatest(F.size("_free"), F.lit(1))).cast("int")
+    return dealt.withColumn("endpoint", F.coalesce(F.get("_free", turn)["endpoint"], F.col("_first"))).drop("_turn", "_free", "_first")
+
+
+def scan_progress(events: DataFrame, run: str, seq: str) -> DataFrame:
+    """One row a run: done, total, files a second and seconds left as of its latest event. events: done, total, elapsed."""
+    last = events.groupBy(run).agg(*(F.max_by(c, seq).alias(c) for c in ("done", "total", "elapsed")))
+    rate = F.coalesce(F.try_divide(F.col("done"), F.col("elapsed")), F.lit(0.0))
+    left = F.greatest(F.lit(0), F.col("total") - F.col("done"))
+    return last.select(run, "done", "total", rate.alias("rate"), F.coalesce(F.try_divide(left, rate), F.lit(0.0)).alias("eta_s"))
+
+
+def current_messages(messages: DataFrame, run: str, current: DataFrame, key: str) -> DataFrame:
+    """Messages of each key's current run; those of stale runs are dropped. current: key, run."""
+    return messages.join(small(current), [key, run], "left_semi")
+
+
+#: Steps a task may take.
+STEPS = (
+    ("idle", "running"), ("running", "pausing"), ("pausing", "paused"), ("paused", "running"), ("running", "stopping"), ("pausing", "stopping"), ("paused", "stopping"),
+    ("stopping", "stopped"), ("running", "finished"), ("running", "error"), ("stopped", "running"), ("finished", "running"), ("error", "running"),
+)
+
+
+def illegal_steps(events: DataFrame, key: str, seq: str, state: str) -> DataFrame:
+    """Events whose state can't follow the one before of the same key (idle before the first)."""
+    before = F.coalesce(F.lag(state).over(Window.partitionBy(key).orderBy(seq)), F.lit("idle"))
+    steps = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in STEPS))
+    out = events.withColumn("before", before)
+    return out.where((F.col("before") != F.col(state)) & ~F.array_contains(steps, F.struct(F.col("before").alias("a"), F.col(state).alias("b"))))
 
 
 def unload_set(instances: DataFrame, key: str, instance: str, pos: str, active: str) -> DataFrame:

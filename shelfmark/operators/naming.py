@@ -2,41 +2,64 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.operators.ranking import running
+from shelfmark.scratch import cut
+
 MARGIN = 64 << 20
-#: Bytes of files are summed in so many ranges before the running total.
-RANGES = 256
 
 
-def destinations(plan: DataFrame) -> DataFrame:
+def _stem_and_ext(name: Column) -> tuple[Column, Column]:
+    ext = F.regexp_extract(name, r"[^.](\.[^.]+)$", 1)
+    return F.substring(name, F.lit(1), F.length(name) - F.length(ext)), ext
+
+
+def destinations(plan: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """Adds ``dest`` (dest_dir/name, or stem_n.ext) to rows of source, dest_dir, name, sha256.
 
-    Files of one directory and name (case aside) are numbered in order of their first
-    source; equal content shares one destination; a file without a digest is its own.
+    ``existing`` has the dest_dir, name and sha256 of files that are there already. Names
+    compare case aside. Equal content shares one destination, and content that is there
+    under the name or a numbered form of it is not copied again; a file without a digest
+    is its own content. A free name goes to the content of its least source; every other
+    content gets, in order of its least source, the next number that no file in the folder
+    and no name of the plan has. So no two contents meet at one destination.
     """
     content = F.coalesce(F.col("sha256"), F.concat(F.lit("path:"), F.col("source")))
     keyed = plan.withColumn("_c", content).withColumn("_low", F.lower("name"))
-    first = keyed.groupBy("dest_dir", "_low", "_c").agg(F.min("source").alias("_first"))
-    number = F.row_number().over(Window.partitionBy("dest_dir", "_low").orderBy("_first")) - 1
-    numbered = first.withColumn("_n", number).drop("_first")
-    ext = F.regexp_extract("name", r"[^.](\.[^.]+)$", 1)
-    stem = F.substring(F.col("name"), F.lit(1), F.length("name") - F.length(ext))
-    name = F.when(F.col("_n") == 0, F.col("name")).otherwise(F.concat(stem, F.lit("_"), F.col("_n").cast("string"), ext))
-    return keyed.join(numbered, ["dest_dir", "_low", "_c"]).withColumn("dest", F.concat_ws("/", "dest_dir", name)).drop("_c", "_low", "_n")
+    first = cut(keyed.groupBy("dest_dir", "_low", "_c").agg(F.min("source").alias("_first"), F.min("name").alias("_name")), "contents")
+    there = plan.sparkSession.createDataFrame([], "dest_dir string, name string, sha256 string") if existing is None else existing
+    there = cut(there.select("dest_dir", "name", F.lower("name").alias("_low"), "sha256"), "existing")
 
+    # what is there already, by the name and by the name that a numbered file was made from
+    stem, ext = _stem_and_ext(F.col("_low"))
+    number = F.regexp_extract(stem, r"_([1-9]\d{0,8})$", 1)
+    numbered = F.when(number != "", F.concat(F.regexp_replace(stem, r"_[1-9]\d{0,8}$", ""), ext))
+    both = there.select("dest_dir", "_low", "name", "sha256", F.lit(0).alias("_n")).unionByName(there.where(numbered.isNotNull()).select("dest_dir", numbered.alias("_low"), "name", "sha256", number.cast("long").alias("_n")))
+    held = both.where("sha256 is not null").groupBy("dest_dir", "_low", F.col("sha256").alias("_c")).agg(F.min_by("name", "_n").alias("_held"))
+    left = cut(first.join(held, ["dest_dir", "_low", "_c"], "left"), "left")
 
-def space_guard(files: DataFrame, order: str, size: str, free: int, margin: int = MARGIN) -> DataFrame:
-    """Adds ``running`` (bytes up to and with each file, in order) and ``fits``: whether they leave the margin free.
+    # the name itself goes to one content, unless a file has it
+    heads = left.where("_held is null").groupBy("dest_dir", "_low").agg(F.min(F.struct("_first", "_c")).alias("_head"))
+    heads = heads.join(there.select("dest_dir", "_low").distinct(), ["dest_dir", "_low"], "left_anti")
+    owned = cut(heads.select("dest_dir", "_low", F.col("_head._c").alias("_c"), F.lit(True).alias("_own")), "owned")
+    marked = left.join(owned, ["dest_dir", "_low", "_c"], "left")
 
-    Ids are numbers. Sums of value ranges come first, so that the running total of the
-    whole table is a running total within each range.
-    """
-    edges = files.agg(F.min(order).alias("lo"), F.max(order).alias("hi"))
-    ranged = files.crossJoin(F.broadcast(edges)).withColumn("_g", F.least(F.lit(RANGES - 1), F.floor((F.col(order) - F.col("lo")) * RANGES / (F.col("hi") - F.col("lo") + 1)))).drop("lo", "hi")
-    sums = ranged.groupBy("_g").agg(F.sum(size).alias("_s"))
-    base = sums.withColumn("_base", F.coalesce(F.sum("_s").over(Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_s")
-    running = F.col("_base") + F.sum(size).over(Window.partitionBy("_g").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    out = ranged.join(F.broadcast(base), "_g").withColumn("running", running)
-    return out.withColumn("fits", F.col("running") + margin <= free).drop("_g", "_base")
+    # numbers that files or other names of the plan have
+    names = there.select("dest_dir", "_low").unionByName(left.select("dest_dir", "_low")).distinct()
+    taken = cut(names.where(numbered.isNotNull()).groupBy("dest_dir", numbered.alias("_low")).agg(F.array_sort(F.collect_set(number.cast("long"))).alias("_taken")), "taken")
+    waiting = running(marked.where("_held is null and _own is null"), ["dest_dir", "_low"], ["_first", "_c"], 1, "_k").join(taken, ["dest_dir", "_low"], "left")
+    below = F.size(F.filter(F.transform("_taken", lambda t, i: t - i), lambda x: x <= F.col("_k")))
+    free = F.col("_k") + F.when(F.col("_taken").isNotNull(), below).otherwise(0)
+    given = cut(waiting.select("dest_dir", "_low", "_c", free.alias("_n")), "numbers")
+
+    out = keyed.join(marked.select("dest_dir", "_low", "_c", "_held", "_name"), ["dest_dir", "_low", "_c"]).join(given, ["dest_dir", "_low", "_c"], "left")
+    stem, ext = _stem_and_ext(F.col("_name"))
+    name = F.when(F.col("_held").isNotNull(), F.col("_held")).when(F.col("_n").isNull(), F.col("_name")).otherwise(F.concat(stem, F.lit("_"), F.col("_n").cast("string"), ext))
+    return out.withColumn("dest", F.concat_ws("/", "dest_dir", name)).drop("_c", "_low", "_n", "_held", "_name")
+
+
+def space_guard(files: DataFrame, order: str, size: str, free: int, margin: int = MARGIN) -> DataFrame:
+    """Adds ``running`` (bytes up to and with each file, in order) and ``fits``: whether they leave the margin free."""
+    return running(files, [], [order], F.col(size), "running").withColumn("fits", F.col("running") + margin <= free)

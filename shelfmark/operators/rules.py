@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNCATEGORIZED = "uncategorized"
+#: A score that stands for none.
+NEVER = -1e9
 
 
 @dataclass(frozen=True)
@@ -53,7 +55,8 @@ def reweighted(scores: Column, t: RuleTables) -> Column:
             return _let(F.struct(acc.alias("m"), F.try_element_at(acc, rule["generic"]).alias("generic"), best.alias("best")), one)
 
         out = F.aggregate(rules, out, apply)
-    out = _let(out, lambda m: _scaled(m, t.class_b, 0.5, (_best(m, t.class_a) >= 0.08) & (_best(m, t.class_a) >= 0.7 * _best(m, t.class_b))))
+    lesser = tuple(x for x in t.class_b if x not in t.class_a)  # a tag of both classes keeps its score
+    out = _let(out, lambda m: _scaled(m, lesser, 0.5, (_best(m, t.class_a) >= 0.08) & (_best(m, t.class_a) >= 0.7 * _best(m, t.class_b))))
     out = _let(out, lambda m: _scaled(m, t.generic_people, 0.45, _best(m, t.personal) >= 0.20))
 
     def sides(m: Column) -> Column:
@@ -67,7 +70,7 @@ def reweighted(scores: Column, t: RuleTables) -> Column:
 
 def pick_tag(scores: Column, allowed: tuple[str, ...], t: RuleTables, apply_rules: bool = True, most: int = 5) -> Column:
     """Struct of tag, confidence and candidates (best first) of a map of scores; nothing allowed is uncategorized."""
-    kept = F.map_filter(scores, lambda k, _: k.isin(*allowed)) if allowed else F.map_filter(scores, lambda k, v: F.lit(False))
+    kept = F.map_filter(scores, lambda k, v: k.isin(*allowed) & (v > NEVER)) if allowed else F.map_filter(scores, lambda k, v: F.lit(False))
     weighed = reweighted(kept, t) if apply_rules else kept
     special = F.create_map(*(F.lit(x) for kv in t.specificity for x in kv)) if t.specificity else F.create_map().cast("map<string,int>")
     entries = F.transform(F.map_entries(weighed), lambda e: F.struct((-F.round(e["value"], 9)).alias("s"), (-F.coalesce(F.try_element_at(special, e["key"]), F.lit(1))).alias("p"), e["key"].alias("tag"), e["value"].alias("v")))

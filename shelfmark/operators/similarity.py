@@ -129,11 +129,11 @@ def perceptual_edges(records: DataFrame, o: DuplicateOptions, bits: int = 60) ->
 def verification_pairs(records: DataFrame, o: DuplicateOptions, most: int = 15_000, bits: int = 60, color_bits: int = 12) -> DataFrame:
     """(bw, bh, id_a, id_b, distance) of the pairs worth a closer look, the first ``most`` in order of block and ids.
 
-    Near by pHash up to the verification radius, or by colour hash if semantic search is
+    Records without a pHash are never paired. Near by pHash up to the verification radius, or by colour hash if semantic search is
     on; plausible geometry; not equal by content; and either far enough by pHash to be in
     doubt or near by colour. The limit is the feature: it caps calls to a verifier.
     """
-    items = with_blocks(records, o)
+    items = cut(with_blocks(records.where("phash is not null"), o), "hashed")
     near = hamming_pairs(items, "id", "phash", o.verify_most, bits, ("bw", "bh")).select("key_a", "key_b")
     if o.semantic:
         near = near.unionByName(hamming_pairs(items, "id", "colorhash", min(o.color_radius, color_bits), color_bits, ("bw", "bh"), bands=2).select("key_a", "key_b")).distinct()

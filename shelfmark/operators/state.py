@@ -64,11 +64,69 @@ def unprocessed(items: DataFrame, files: DataFrame, version: int) -> DataFrame:
 
 
 def with_cache(items: DataFrame, cache: DataFrame, version: int, exact: bool, visual: bool) -> DataFrame:
-    """Adds ``hit``: whether the cached signature of the path is of the same file state and version and has what is needed."""
-    c = cache.select(F.col("path_norm").alias("_p"), F.col("mtime").alias("_m"), F.col("size").alias("_z"), F.col("sig_version").alias("_v"), "sha256", "phash")
+    """Adds ``hit``: whether the cached signature of the path is of the same file state and version and has what is needed.
+
+    A visual signature needs a hash, and frame hashes too where the item's ``multiframe``
+    says so. cache: path_norm, mtime, size, sig_version, sha256, phash, phash_frames.
+    """
+    c = cache.select(F.col("path_norm").alias("_p"), F.col("mtime").alias("_m"), F.col("size").alias("_z"), F.col("sig_version").alias("_v"), "sha256", "phash", "phash_frames")
     ok = (F.col("_m") == F.col("mtime")) & (F.col("_z") == F.col("size")) & (F.col("_v") == version)
-    ok = ok & (F.col("sha256").isNotNull() if exact else F.lit(True)) & (F.col("phash").isNotNull() if visual else F.lit(True))
-    return items.join(c, F.col("path_norm") == F.col("_p"), "left").withColumn("hit", F.coalesce(ok, F.lit(False))).drop("_p", "_m", "_z", "_v", "sha256", "phash")
+    ok = ok & (F.col("sha256").isNotNull() if exact else F.lit(True)) & (F.col("phash").isNotNull() & (~F.col("multiframe") | F.col("phash_frames").isNotNull()) if visual else F.lit(True))
+    return items.join(c, F.col("path_norm") == F.col("_p"), "left").withColumn("hit", F.coalesce(ok, F.lit(False))).drop("_p", "_m", "_z", "_v", "sha256", "phash", "phash_frames")
+
+
+def from_cache(items: DataFrame, cache: DataFrame, visual: bool) -> DataFrame:
+    """Items (path_norm, mtime, size) with the cached signature of the same file state; stale and missing ones go, versions aren't asked."""
+    signed = cache.where("phash is not null") if visual else cache
+    return items.join(signed.drop("sig_version"), ["path_norm", "mtime", "size"])
+
+
+def resumed(items: DataFrame, done: DataFrame, session: str, cache: DataFrame, visual: bool) -> tuple[DataFrame, DataFrame]:
+    """(records of items done in the session, from the cache; items still to compute). Done goes by path alone.
+
+    An item that is done but no longer in the cache is in neither.
+    """
+    paths = done.where((F.col("session_key") == session) & (F.col("status") == "done")).select("path_norm").distinct()
+    return from_cache(items.join(paths, "path_norm", "left_semi"), cache, visual), items.join(paths, "path_norm", "left_anti")
+
+
+def cached_vectors(digests: DataFrame, cache: DataFrame, model_key: str, side: int) -> DataFrame:
+    """(sha256, vec) of the digests whose embedding is cached for the model and image side with the length it says."""
+    ok = (F.col("model_key") == model_key) & (F.col("image_max_side") == side) & (F.size("vec") == F.col("dim"))
+    return digests.select("sha256").distinct().join(cache.where(ok).select("sha256", "vec"), "sha256")
+
+
+def with_digests(files: DataFrame, cache: DataFrame, compute: Column) -> tuple[DataFrame, DataFrame]:
+    """(files with sha256, cached or computed; rows to add to the cache). files: path_norm, mtime, size; ``compute`` is read for misses alone."""
+    known = files.join(cache.select("path_norm", "mtime", "size", F.col("sha256").alias("_known")), ["path_norm", "mtime", "size"], "left")
+    found = known.withColumn("sha256", F.coalesce("_known", F.when(F.col("_known").isNull(), compute)))
+    return found.drop("_known"), found.where("_known is null").select("path_norm", "mtime", "size", "sha256")
+
+
+def mark_processed(files: DataFrame, results: DataFrame, version: int) -> DataFrame:
+    """files after ``results`` (sha256, category): those are processed by this version; unknown digests are added."""
+    new = results.select("sha256", F.lit("processed").alias("status"), "category", F.lit(version).alias("pipeline_version"))
+    return merge(files.select("sha256", "status", "category", "pipeline_version"), new, ["sha256"])
+
+
+def cache_counts(**tables: DataFrame) -> DataFrame:
+    """One row with the number of rows of each table."""
+    out = None
+    for name, table in tables.items():
+        one = table.agg(F.count("*").alias(name))
+        out = one if out is None else out.crossJoin(one)
+    return out
+
+
+def asks_to_resume(sessions: DataFrame) -> DataFrame:
+    """Duplicate sessions that can be continued: they have files, and aren't both done and completed."""
+    return sessions.where((F.col("total") > 0) & ~((F.col("done") >= F.col("total")) & (F.col("status") == "completed")))
+
+
+def pair_decisions(decisions: DataFrame, session: str, pairs: DataFrame) -> DataFrame:
+    """(path_a, path_b, decision) of the wanted pairs, in either order of paths; null where none is stored."""
+    asked = pairs.select(F.least("path_a", "path_b").alias("path_a"), F.greatest("path_a", "path_b").alias("path_b"))
+    return asked.join(decisions.where(F.col("session_key") == session).select("path_a", "path_b", "decision"), ["path_a", "path_b"], "left")
 
 
 def latest_incomplete(sessions: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions.vectors import dot, failed, normalised
 from shelfmark.operators import classify as C
+from shelfmark.operators import metrics as M
 from shelfmark.operators import rules as R
 from shelfmark.plans.presets import ClassifyOptions
 from shelfmark.sources.tables import table
@@ -17,20 +18,25 @@ def _vectors(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.concat(F.lit("tag"), F.col("label").cast("string")).alias("tag"))
 
 
+#: What may be picked: every tag but one, so that the best of the others comes up where that one is nearest.
+NOT_ALLOWED, TAG_RULES = "tag3", R.RuleTables(specificity=(("tag2", 3),))
+
+
 def _prototypes(spark, sf_dir):
-    """Two prompts a tag, from the even vectors."""
-    even = _vectors(spark, sf_dir).where("vec_id % 2 = 0").withColumn("prompt", F.concat_ws("/", "tag", (F.col("vec_id") % 4).cast("string")))
-    return C.mean_vectors(even, "prompt", "embedding").select(F.substring_index("prompt", "/", 1).alias("tag"), F.col("mean").alias("proto"))
+    """Two prompts a tag."""
+    prompts = _vectors(spark, sf_dir).withColumn("prompt", F.concat_ws("/", "tag", (F.col("vec_id") % 2).cast("string")))
+    return C.mean_vectors(prompts, "prompt", "embedding").select(F.substring_index("prompt", "/", 1).alias("tag"), F.col("mean").alias("proto"))
 
 
 def _text_sims(spark, sf_dir):
-    return C.similarities(_vectors(spark, sf_dir).where("vec_id % 2 = 1"), _prototypes(spark, sf_dir), "vec_id", "embedding", "tag", "proto")
+    return C.similarities(_vectors(spark, sf_dir), _prototypes(spark, sf_dir), "vec_id", "embedding", "tag", "proto")
 
 
 def _sims(spark, sf_dir):
+    """The first exemplars of each tag, as many as a folder may have, raise the similarities."""
     v = _vectors(spark, sf_dir)
-    exemplars = v.where("vec_id % 40 = 0").select("tag", normalised(F.col("embedding")).alias("proto"))
-    return C.boosted(_text_sims(spark, sf_dir), C.similarities(v.where("vec_id % 2 = 1"), exemplars, "vec_id", "embedding", "tag", "proto"), "vec_id", "tag", O)
+    exemplars = M.capped_exemplars(v, "tag", "vec_id").select("tag", normalised(F.col("embedding")).alias("proto"))
+    return C.boosted(_text_sims(spark, sf_dir), C.similarities(v, exemplars, "vec_id", "embedding", "tag", "proto"), "vec_id", "tag", O)
 
 
 def _probs(spark, sf_dir):
@@ -38,7 +44,10 @@ def _probs(spark, sf_dir):
 
 
 def _results(spark, sf_dir):
-    return C.results(_probs(spark, sf_dir), "vec_id", "tag", O)
+    """Every 97th vector stands for an image that could not be encoded."""
+    v = _vectors(spark, sf_dir)
+    allowed = tuple(sorted(r.tag for r in v.select("tag").distinct().collect() if r.tag != NOT_ALLOWED))
+    return C.results(_probs(spark, sf_dir), "vec_id", "tag", O, allowed, TAG_RULES, apply_rules=False, failed=v.where("vec_id % 97 = 0"))
 
 
 def _long(frame, key, vec):
@@ -70,13 +79,14 @@ def cls_margins(spark, sf_dir):
 
 
 def cls_result(spark, sf_dir):
-    return _results(spark, sf_dir).withColumn("confidence", F.round("confidence", 6))
+    shown = _results(spark, sf_dir).withColumn("confidence", F.round("confidence", 6)).withColumn("candidates", F.array_join("candidates", "|"))
+    return shown.withColumn("reason", F.regexp_extract("reason", r"^\S+", 0))
 
 
 def cls_frame_pool(spark, sf_dir):
     """Frames of an item are five neighbouring vectors; a tag's score is its best frame."""
     frames = _vectors(spark, sf_dir).withColumn("item", F.floor(F.col("vec_id") / 5))
-    return C.similarities(frames, _prototypes(spark, sf_dir), "item", "embedding", "tag", "proto").select("item", "tag", F.round("sim", 6).alias("sim"))
+    return C.similarities(frames, _prototypes(spark, sf_dir), "item", "embedding", "tag", "proto", pooled=True).select("item", "tag", F.round("sim", 6).alias("sim"))
 
 
 def cls_crop_fuse(spark, sf_dir):
@@ -103,6 +113,28 @@ def cls_accuracy(spark, sf_dir):
     return C.accuracy(r, "tag", "hit", "sure", "needs_review")
 
 
+def cls_confusions(spark, sf_dir):
+    r = _results(spark, sf_dir).join(_vectors(spark, sf_dir).select("vec_id", "tag"), "vec_id")
+    return C.confusions(r, "tag", "category")
+
+
+def cls_tag_scores(spark, sf_dir):
+    return C.tag_scores(_text_sims(spark, sf_dir), "vec_id", "tag", 0.07).select("vec_id", "tag", F.round("score", 6).alias("score"))
+
+
+def cls_heuristic(spark, sf_dir):
+    """Filename rules of every confidence, some of them below the gates."""
+    v = _vectors(spark, sf_dir).select("vec_id", F.when(F.col("vec_id") % 4 == 3, None).otherwise(F.struct(F.col("tag"), F.when(F.col("vec_id") % 4 == 0, 0.92).when(F.col("vec_id") % 4 == 1, 0.9).otherwise(0.5).alias("confidence"), F.lit("filename_x").alias("reason"))).alias("found"))
+    h = C.heuristic_result(F.col("found"), O)
+    return v.select("vec_id", h.alias("h")).select("vec_id", "h.category", F.array_join("h.candidates", "|").alias("candidates"), "h.confidence", "h.reason", "h.needs_review")
+
+
+def cls_whitelist_clamp(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    allowed = v.select("tag").distinct().where(F.col("tag") != NOT_ALLOWED)
+    return C.clamped(v.select("vec_id", F.col("tag").alias("category"), (F.col("vec_id") % 3 == 0).alias("needs_review")), allowed)
+
+
 def cls_loo(spark, sf_dir):
     """Nearest tag mean of each vector, its own tag's mean taken without it: sums once, then each row subtracts itself."""
     v = _vectors(spark, sf_dir)
@@ -116,7 +148,7 @@ def cls_loo(spark, sf_dir):
 
 
 TABLES = R.RuleTables(
-    specific=(("purchase", ("click", "view")), ("view", ("signup",))), class_a=("signup",), class_b=("error", "view"), personal=("signup",), generic_people=("click",),
+    specific=(("purchase", ("click", "view")), ("view", ("signup",))), class_a=("signup", "view"), class_b=("error", "view"), personal=("signup",), generic_people=("click",),
     real=("purchase", "signup"), generated=("error",), specificity=(("purchase", 3), ("click", 2)),
 )
 ALLOWED = ("click", "error", "purchase", "signup", "view")
@@ -144,7 +176,7 @@ def rule_frame_vote(spark, sf_dir):
     return R.frame_vote(e, "item", "tag", "confidence")
 
 
-QUERIES = {f.__name__: f for f in (cls_prototypes, cls_outliers, cls_sims, cls_exemplar_boost, cls_topk_softmax, cls_margins, cls_result, cls_frame_pool, cls_crop_fuse, cls_failed, cls_vlm_merge, cls_accuracy, cls_loo, rule_pick_tag, rule_priority_merge, rule_frame_vote)}
+QUERIES = {f.__name__: f for f in (cls_prototypes, cls_outliers, cls_sims, cls_exemplar_boost, cls_topk_softmax, cls_margins, cls_result, cls_frame_pool, cls_crop_fuse, cls_failed, cls_vlm_merge, cls_accuracy, cls_confusions, cls_tag_scores, cls_heuristic, cls_whitelist_clamp, cls_loo, rule_pick_tag, rule_priority_merge, rule_frame_vote)}
 
 # --- SQL
 
@@ -160,18 +192,23 @@ def _mean(source: str, key: str, name: str, vec: str = "u") -> str:
   {name} AS (SELECT {key}, {_unit('list(x ORDER BY pos)')} AS mean FROM {name}_a GROUP BY 1)"""
 
 
-_PROTO = f"""{_V}, even AS (SELECT tag || '/' || (vec_id % 4) AS prompt, u FROM v WHERE vec_id % 2 = 0), {_mean('even', 'prompt', 'proto')},
-  odd AS (SELECT * FROM v WHERE vec_id % 2 = 1), tsim AS (SELECT vec_id, split_part(prompt, '/', 1) AS tag, max(list_inner_product(u, mean)) AS sim FROM odd, proto GROUP BY 1, 2)"""
-_BOOST = f"""{_PROTO}, ex AS (SELECT o.vec_id, x.tag, max(list_inner_product(o.u, x.u)) AS best FROM odd o, v x WHERE x.vec_id % 40 = 0 GROUP BY 1, 2),
+_PROTO = f"""{_V}, prompts AS (SELECT tag || '/' || (vec_id % 2) AS prompt, u FROM v), {_mean('prompts', 'prompt', 'proto')},
+  tsim AS (SELECT vec_id, split_part(prompt, '/', 1) AS tag, max(list_inner_product(u, mean)) AS sim FROM v, proto GROUP BY 1, 2)"""
+_BOOST = f"""{_PROTO}, few AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY tag ORDER BY vec_id) <= 48), ex AS (SELECT o.vec_id, x.tag, max(list_inner_product(o.u, x.u)) AS best FROM v o, few x GROUP BY 1, 2),
   sims AS (SELECT vec_id, tag, sim AS text_sim, coalesce(least({O.exemplar_cap}, greatest(0.0, best - {O.exemplar_min}) * {O.exemplar_boost - 1}), 0.0) AS delta,
     least(1.0, sim + coalesce(least({O.exemplar_cap}, greatest(0.0, best - {O.exemplar_min}) * {O.exemplar_boost - 1}), 0.0)) AS sim FROM tsim LEFT JOIN ex USING (vec_id, tag))"""
 _PROBS = f"""{_BOOST}, rk AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(sim, 9) DESC, tag) AS rank, max(sim) OVER (PARTITION BY vec_id) AS mx FROM sims),
   ex2 AS (SELECT *, CASE WHEN rank <= {O.top_k} THEN exp((sim - mx) / {O.temperature}) ELSE 0.0 END AS e2 FROM rk), probs AS (SELECT *, e2 / greatest(sum(e2) OVER (PARTITION BY vec_id), 1e-9) AS prob FROM ex2)"""
 _MARG = f"""{_PROBS}, m AS (SELECT vec_id, max(tag) FILTER (WHERE rank = 1) AS top_tag, max(sim) FILTER (WHERE rank = 1) AS top, max(sim) FILTER (WHERE rank = 1) - coalesce(max(sim) FILTER (WHERE rank = 2), 0.0) AS raw_margin,
     max(prob) FILTER (WHERE rank = 1) AS prob, max(prob) FILTER (WHERE rank = 1) - coalesce(max(prob) FILTER (WHERE rank = 2), 0.0) AS prob_margin, max(text_sim) FILTER (WHERE rank = 1) AS text_sim, max(delta) FILTER (WHERE rank = 1) AS delta FROM probs GROUP BY vec_id)"""
-_RES = f"""{_MARG}, j AS (SELECT *, round(top, 9) < {O.min_raw} AS low, round(delta, 9) >= 0.045 AND round(text_sim, 9) < 0.24 AND NOT (round(raw_margin, 9) >= 0.06 AND round(prob_margin, 9) >= {O.min_margin}) AS led FROM m),
-  res AS (SELECT vec_id, CASE WHEN low THEN 'uncategorized' ELSE top_tag END AS category, round(CASE WHEN low THEN greatest(0.0, top) ELSE prob END, 6) AS confidence,
-    low OR round(prob, 9) < {O.threshold} OR round(prob_margin, 9) < {O.min_margin} OR round(raw_margin, 9) < {O.min_raw_margin} OR led AS needs_review, CASE WHEN low THEN 'clip_low_sim' WHEN led THEN 'clip_exemplar' ELSE 'clip' END AS reason FROM j)"""
+_RES = f"""{_MARG}, pk AS (SELECT vec_id, list(tag ORDER BY round(prob, 9) DESC, CASE tag WHEN 'tag2' THEN 3 ELSE 1 END DESC, tag)[1:5] AS cand FROM probs WHERE tag <> '{NOT_ALLOWED}' GROUP BY vec_id),
+  j AS (SELECT m.vec_id, m.top, m.raw_margin, m.prob, m.prob_margin, cand, m.vec_id % 97 = 0 AS failed, round(m.top, 9) < {O.min_raw} AS low,
+    round(p.delta, 9) >= 0.045 AND round(p.text_sim, 9) < 0.24 AND NOT (round(m.raw_margin, 9) >= 0.06 AND round(m.prob_margin, 9) >= {O.min_margin}) AS led
+    FROM m JOIN pk USING (vec_id) JOIN probs p ON p.vec_id = m.vec_id AND p.tag = cand[1]),
+  res AS (SELECT vec_id, CASE WHEN failed OR low THEN 'uncategorized' ELSE cand[1] END AS category, CASE WHEN failed OR low THEN '' ELSE array_to_string(cand, '|') END AS candidates,
+    round(CASE WHEN failed THEN 0.0 WHEN low THEN greatest(0.0, top) ELSE prob END, 6) AS confidence,
+    failed OR low OR round(prob, 9) < {O.threshold} OR round(prob_margin, 9) < {O.min_margin} OR round(raw_margin, 9) < {O.min_raw_margin} OR led AS needs_review,
+    CASE WHEN failed THEN 'clip_embed_failed' WHEN low THEN 'clip_low_sim' ELSE 'clip' END AS reason FROM j)"""
 _SCORES = "sc AS (SELECT floor(event_id / 6.0)::BIGINT AS item, event_type AS tag, max(event_id * 31 % 97 / 97.0::DOUBLE) AS s FROM events GROUP BY 1, 2)"
 _STEP = "{n} AS (SELECT item, tag, CASE WHEN tag = '{g}' AND best >= 0.35 * gen AND best >= 0.25 * top THEN least(s, 0.45 * best) ELSE s END AS s FROM (SELECT *, max(s) FILTER (WHERE tag IN ({sp})) OVER w AS best, max(s) FILTER (WHERE tag = '{g}') OVER w AS gen, max(s) OVER w AS top FROM {p} WINDOW w AS (PARTITION BY item)))"
 
@@ -197,12 +234,17 @@ SQL = {
         WHEN confidence >= {O.threshold} THEN CASE WHEN vc >= 0.82 AND vc > confidence + 0.14 THEN 'vlm' ELSE 'clip' END WHEN reason = 'clip_low_sim' THEN CASE WHEN vc >= 0.65 THEN 'vlm' ELSE 'clip' END WHEN vc >= 0.8 AND vc > confidence + 0.15 THEN 'vlm' ELSE 'clip' END AS choice FROM k)
       SELECT vec_id, needs, choice, CASE WHEN choice = 'vlm' THEN vlm ELSE category END AS final FROM c""",
     "cls_accuracy": f"WITH {_RES} SELECT tag, count(*) AS n, sum((category = tag)::BIGINT)::BIGINT AS hits, sum((category = tag AND NOT needs_review)::BIGINT)::BIGINT AS sure_hits, sum(needs_review::BIGINT)::BIGINT AS reviews FROM res JOIN v USING (vec_id) GROUP BY ROLLUP (tag)",
+    "cls_confusions": f"WITH {_RES} SELECT tag, category, count(*) AS n FROM res JOIN v USING (vec_id) WHERE tag <> category GROUP BY 1, 2",
+    "cls_tag_scores": f"WITH {_PROTO}, e AS (SELECT *, exp((sim - max(sim) OVER (PARTITION BY vec_id)) / 0.07) AS e FROM tsim) SELECT vec_id, tag, round(e / sum(e) OVER (PARTITION BY vec_id), 6) AS score FROM e",
+    "cls_heuristic": f"""SELECT vec_id, CASE WHEN k < 3 THEN 'tag' || label END AS category, CASE WHEN k < 3 THEN 'tag' || label END AS candidates, CASE k WHEN 0 THEN 0.92 WHEN 1 THEN 0.9 WHEN 2 THEN 0.5 END::DOUBLE AS confidence,
+      CASE WHEN k < 3 THEN 'heuristic:filename_x' END AS reason, CASE WHEN k = 0 THEN false WHEN k < 3 THEN true END AS needs_review FROM (SELECT *, vec_id % 4 AS k FROM embeddings)""",
+    "cls_whitelist_clamp": f"SELECT vec_id, CASE WHEN label = 3 THEN 'uncategorized' ELSE 'tag' || label END AS category, vec_id % 3 = 0 OR label = 3 AS needs_review FROM embeddings",
     "cls_loo": f"""WITH {_V}, p AS (SELECT tag, unnest(e) AS x, generate_subscripts(e, 1) AS pos FROM v), a AS (SELECT tag, pos, sum(x) AS x FROM p GROUP BY 1, 2), t AS (SELECT tag, list(x ORDER BY pos) AS total FROM a GROUP BY 1),
       h AS (SELECT v.vec_id, v.tag, t.tag AS other, v.e, CASE WHEN v.tag = t.tag THEN [total[i] - v.e[i] for i in range(1, len(total) + 1)] ELSE total END AS held FROM v, t),
       s AS (SELECT vec_id, tag, other, list_inner_product(e, {_unit('held')}) AS sim FROM h), b AS (SELECT tag, other FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(sim, 9) DESC, substr(other, 4)::INT) = 1)
       SELECT tag, count(*) AS n, sum((tag = other)::BIGINT)::BIGINT AS hits FROM b GROUP BY tag""",
     "rule_pick_tag": f"""WITH {_SCORES}, {_STEP.format(n='s1', g='purchase', sp="'click', 'view'", p='sc')}, {_STEP.format(n='s2', g='view', sp="'signup'", p='s1')},
-      s3 AS (SELECT item, tag, CASE WHEN a >= 0.08 AND a >= 0.7 * b AND tag IN ('error', 'view') THEN s * 0.5 ELSE s END AS s FROM (SELECT *, coalesce(max(s) FILTER (WHERE tag = 'signup') OVER w, 0) AS a, coalesce(max(s) FILTER (WHERE tag IN ('error', 'view')) OVER w, 0) AS b FROM s2 WINDOW w AS (PARTITION BY item))),
+      s3 AS (SELECT item, tag, CASE WHEN a >= 0.08 AND a >= 0.7 * b AND tag = 'error' THEN s * 0.5 ELSE s END AS s FROM (SELECT *, coalesce(max(s) FILTER (WHERE tag IN ('signup', 'view')) OVER w, 0) AS a, coalesce(max(s) FILTER (WHERE tag IN ('error', 'view')) OVER w, 0) AS b FROM s2 WINDOW w AS (PARTITION BY item))),
       s4 AS (SELECT item, tag, CASE WHEN p >= 0.2 AND tag = 'click' THEN s * 0.45 ELSE s END AS s FROM (SELECT *, coalesce(max(s) FILTER (WHERE tag = 'signup') OVER (PARTITION BY item), 0) AS p FROM s3)),
       s5 AS (SELECT item, tag, CASE WHEN rw AND tag = 'error' THEN s * 0.55 WHEN mw AND NOT rw AND tag = 'purchase' THEN s * 0.55 ELSE s END AS s FROM (SELECT *, r >= 0.12 AND r >= 1.05 * g AS rw, g >= 0.12 AND g >= 1.05 * r AS mw FROM
         (SELECT *, coalesce(max(s) FILTER (WHERE tag IN ('purchase', 'signup')) OVER w, 0) AS r, coalesce(max(s) FILTER (WHERE tag = 'error') OVER w, 0) AS g FROM s4 WINDOW w AS (PARTITION BY item)))),

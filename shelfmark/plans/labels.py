@@ -69,7 +69,7 @@ def txt_prompts(spark, sf_dir):
     return p.select("p_partkey", F.array_join(text.prompts(F.col("tag"), F.col("d")), "\n").alias("prompts"))
 
 
-_NAMES = "CASE event_id % 7 WHEN 0 THEN concat('Screen_Shot-', event_id) WHEN 1 THEN concat('scanned ', t) WHEN 2 THEN 'QR-Code.png' WHEN 3 THEN concat('invoice_', n) WHEN 4 THEN 'Договор.jpg' WHEN 5 THEN 'скрин 1' ELSE t END"
+_NAMES = "CASE event_id % 8 WHEN 6 THEN concat('Capture d', chr(39), 'écran 2024.png') WHEN 0 THEN concat('Screen_Shot-', event_id) WHEN 1 THEN concat('scanned ', t) WHEN 2 THEN 'QR-Code.png' WHEN 3 THEN concat('invoice_', n) WHEN 4 THEN 'Договор.jpg' WHEN 5 THEN 'скрин 1' ELSE t END"
 
 
 def txt_filename_heuristics(spark, sf_dir):
@@ -251,7 +251,7 @@ def _clean(x: str) -> str:
 
 
 def _heuristic(field: int) -> str:
-    cases = " ".join(f"WHEN regexp_matches(name, '(?i){r[3]}') THEN " + (f"{r[1]}::DOUBLE" if field == 1 else f"'{r[field]}'") for r in text.FILENAME_RULES)
+    cases = " ".join("WHEN regexp_matches(name, '(?i)" + r[3].replace("'", "''") + "') THEN " + (f"{r[1]}::DOUBLE" if field == 1 else f"'{r[field]}'") for r in text.FILENAME_RULES)
     return f"CASE WHEN w >= 8 THEN CASE {cases} END END"
 
 

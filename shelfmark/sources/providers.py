@@ -13,9 +13,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RETRY_S, RETRY_CAP_S = (1.5, 3.0, 5.0, 8.0), 8.0
-
-
 class Provider(Protocol):
     schema: str
 
@@ -45,8 +42,14 @@ def first_success(attempts: DataFrame, item: str, attempt: str, category: str, n
     return attempts.groupBy(item).agg(F.coalesce(F.min_by(F.when(good, rest), F.when(good, F.col(attempt))), F.max_by(rest, F.col(attempt))).alias("_r")).select(item, "_r.*")
 
 
-def retry_delay(attempt: int, jitter: float, reloading: bool = False) -> float:
-    """Seconds before the next try; ``jitter`` in 0..1 spreads it by a quarter either way."""
-    if reloading:
-        return min(12.0, 3.0 + 2.0 * attempt)
-    return min(RETRY_CAP_S, RETRY_S[min(attempt, len(RETRY_S) - 1)] * (0.75 + 0.5 * jitter))
+def cascade(attempts: DataFrame, item: str, frames: str, category: str, confidence: str, votes: DataFrame) -> DataFrame:
+    """(item, category, via): of a moving picture, the answer for the most frames asked at once that has a category, else what single frames vote.
+
+    attempts: item, frames (3, 2, 1), category, confidence; votes: item, category.
+    """
+    good = attempts.where(F.col(category) != "uncategorized")
+    best = good.groupBy(item).agg(F.max_by(category, frames).alias("_best"), F.max(frames).alias("_frames"))
+    every = attempts.select(item).unionByName(votes.select(item)).distinct()
+    met = every.join(best, item, "left").join(votes.select(item, F.col(category).alias("_vote")), item, "left")
+    via = F.when(F.col("_best").isNotNull(), F.concat(F.lit("frames"), F.col("_frames").cast("string"))).when(F.col("_vote").isNotNull(), "vote").otherwise("none")
+    return met.select(item, F.coalesce("_best", "_vote", F.lit("uncategorized")).alias(category), via.alias("via"))
