@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Distance of a missing hash from anything; it never matches.
 NO_HASH = 9999
+_BLANKS = re.compile(r"[ \t\n]+")
 BLOCK = 32
 
 
@@ -33,13 +38,40 @@ def sign_bits(vector: Column, bits: int = 60) -> Column:
     return reduce(lambda a, b: a.bitwiseOR(b), (F.when(vector[i] > 0, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i in range(bits)))
 
 
-def simhash(docs: DataFrame, id_col: str, text_col: str, bits: int = 60) -> DataFrame:
-    """(id, simhash) of the distinct lower-cased whitespace tokens; tokens are hashed by the first hex digits of SHA-256.
+class _TokenBytes(dict):
+    """Token -> the first eight bytes of its SHA-256; emptied when it has grown too large."""
+
+    LIMIT = 500_000
+
+    def __missing__(self, token: str) -> bytes:
+        if len(self) >= self.LIMIT:
+            self.clear()
+        self[token] = found = hashlib.sha256(token.encode("utf-8", "replace")).digest()[:8]
+        return found
+
+
+_TOKENS = _TokenBytes()  # one for each Python worker
+
 
-    A text without tokens has the hash 0. Votes are summed map-side before the shuffle.
+def simhash_of(text: Column, bits: int = 60) -> Column:
+    """SimHash of the distinct lower-cased whitespace tokens of a text, by the first ``bits`` bits of their SHA-256; 0 without tokens.
+
+    Votes are counted within the row: no shuffle.
     """
-    tokens = F.array_distinct(F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[ \t\n]+"), lambda t: t != ""))
-    hashed = docs.select(F.col(id_col), F.explode_outer(tokens).alias("token")).withColumn("h", F.conv(F.substring(F.sha2("token", 256), 1, bits // 4), 16, -10).cast("long"))
-    votes = [F.sum(F.when(F.col("h").bitwiseAND(F.lit(1 << i)) != 0, 1).when(F.col("h").isNotNull(), -1)).alias(f"b{i}") for i in range(bits)]
-    summed = hashed.groupBy(id_col).agg(*votes)
-    return summed.select(id_col, reduce(lambda a, b: a.bitwiseOR(b), (F.when(F.col(f"b{i}") > 0, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i in range(bits))).alias("simhash"))
+
+    @F.pandas_udf("long")
+    def fold(texts: pd.Series) -> pd.Series:
+        out = []
+        for text in texts:
+            tokens = {t for t in _BLANKS.split(text) if t}
+            rows = np.frombuffer(b"".join(map(_TOKENS.__getitem__, tokens)), np.uint8).reshape(len(tokens), 8)
+            votes = 2 * np.unpackbits(rows, axis=1)[:, :bits].sum(axis=0, dtype=np.int64) > len(tokens)
+            out.append(int.from_bytes(np.packbits(votes[::-1], bitorder="little").tobytes(), "little"))
+        return pd.Series(out, dtype="int64")
+
+    return fold(F.lower(F.coalesce(text, F.lit(""))))
+
+
+def simhash(docs: DataFrame, id_col: str, text_col: str, bits: int = 60) -> DataFrame:
+    """(id, simhash) of each row's text."""
+    return docs.select(F.col(id_col), simhash_of(F.col(text_col), bits).alias("simhash"))

@@ -64,12 +64,21 @@ def stripped(text: Column) -> Column:
 
 def strip_reasoning(text: Column) -> Column:
     """Drop thinking blocks, closed or not, and channel markers; keep what follows a final marker; squeeze blank runs. Null is empty."""
-    t = F.coalesce(text, F.lit(""))
     final = r"(?is)<\|channel\|>\s*final\b(.*)$"
-    t = let(t, lambda x: F.when(x.rlike(final), F.regexp_extract(x, final, 1)).otherwise(x))
-    for pattern in (r"(?is)<think>.*?</think>", r"(?is)<think>.*$", r"(?is)<\|channel\>\s*thought\b.*?<channel\|>", r"(?is)<\|channel\|>\s*(?:analysis|thought)\b.*?<\|channel\|>\s*final\b", r"(?im)^[ \t]*</think>[ \t]*$"):
-        t = F.regexp_replace(t, pattern, " ")
-    return stripped(F.regexp_replace(t, r"\n{3,}", "\n\n"))
+    patterns = (r"(?is)<think>.*?</think>", r"(?is)<think>.*$", r"(?is)<\|channel\>\s*thought\b.*?<channel\|>", r"(?is)<\|channel\|>\s*(?:analysis|thought)\b.*?<\|channel\|>\s*final\b", r"(?im)^[ \t]*</think>[ \t]*$")
+
+    def marked(t: Column) -> Column:
+        t = let(t, lambda x: F.when(x.rlike(final), F.regexp_extract(x, final, 1)).otherwise(x))
+        for pattern in patterns:
+            t = F.regexp_replace(t, pattern, " ")
+        return t
+
+    def squeezed(t: Column) -> Column:
+        return F.when(F.contains(t, F.lit("\n\n\n")), F.regexp_replace(t, r"\n{3,}", "\n\n")).otherwise(t)
+
+    # texts without a marker, which are most, meet no pattern
+    clean = let(F.coalesce(text, F.lit("")), lambda t: F.when(F.contains(t, F.lit("<")), marked(t)).otherwise(t))
+    return stripped(let(clean, squeezed))
 
 
 def strip_label(text: Column) -> Column:
@@ -97,15 +106,18 @@ def lines(text: Column) -> Column:
     return F.filter(F.split(text, r"\r\n|\r|\n"), lambda x: stripped(x) != "")
 
 
-def exact_or_null(raw: Column, v: Vocabulary) -> Column:
-    """An allowed tag that is the whole text, its first line or its last one; else null."""
-
+def _exact(source: Column, v: Vocabulary) -> Column:
     def one(source: Column) -> Column:
         labels = F.transform(lines(source), lambda x: F.lower(strip_label(x)))
         edges = let(labels, lambda xs: F.coalesce(resolve(_first(xs), v), resolve(F.try_element_at(xs, F.lit(-1)), v)))
         return F.coalesce(resolve(F.lower(strip_label(source)), v), edges)
 
-    return let(_source(raw), one)
+    return one(source)
+
+
+def exact_or_null(raw: Column, v: Vocabulary) -> Column:
+    """An allowed tag that is the whole text, its first line or its last one; else null."""
+    return let(_source(raw), lambda source: _exact(source, v))
 
 
 def normalise_exact(raw: Column, v: Vocabulary) -> Column:
@@ -115,8 +127,9 @@ def normalise_exact(raw: Column, v: Vocabulary) -> Column:
 def normalise(raw: Column, v: Vocabulary) -> Column:
     """As normalise_exact, else the longest allowed tag inside the text (ties by name)."""
     by_length = _array(sorted(v.tags, key=lambda t: (-len(t), t)))
-    inside = let(F.lower(_source(raw)), lambda whole: _first(F.filter(by_length, lambda t: F.contains(whole, t))))
-    return F.coalesce(exact_or_null(raw, v), F.when(raw != "", inside), F.lit(UNCATEGORIZED))
+    inside = lambda source: let(F.lower(source), lambda whole: _first(F.filter(by_length, lambda t: F.contains(whole, t))))
+    found = let(_source(raw), lambda source: F.coalesce(_exact(source, v), inside(source)))
+    return F.coalesce(F.when(raw != "", found), F.lit(UNCATEGORIZED))
 
 
 def _segment(seg: Column) -> Column:

@@ -65,7 +65,7 @@ def assemble(grouped: DataFrame, policy: str = "largest_pixels", include_exact:
 
 def duplicate_groups(records: DataFrame, o: DuplicateOptions, verified: DataFrame | None = None, bits: int = 60) -> DataFrame:
     """Groups over the union of exact, perceptual and verified edges, under the options."""
-    unique = first_by_path(records)
+    unique = cut(first_by_path(records), "records")  # signatures are computed once
     edges = []
     if o.exact:
         edges.append(exact_edges(unique))

@@ -11,6 +11,7 @@ are one class before anything is joined, so copies never meet pairwise.
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb, inf
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,15 +22,34 @@ from shelfmark.plans.presets import DuplicateOptions
 from shelfmark.scratch import cut
 
 
+#: Values of one band that a hash may probe.
+MOST_PROBES = 20_000
+
+
 def _masks(width: int, radius: int) -> list[int]:
     return [sum(1 << b for b in bits) for k in range(radius + 1) for bits in combinations(range(width), k)]
 
 
-def hamming_pairs(hashes: DataFrame, key: str, hash_col: str, radius: int, bits: int = 60, blocks: tuple[str, ...] = (), bands: int = 4) -> DataFrame:
+def choose_bands(n: int, bits: int, radius: int) -> int:
+    """Bands that need the least probes and candidates for ``n`` hashes: fewer and wider ones, of more probes each, as values fill up."""
+
+    def cost(bands: int) -> float:
+        width = -(-bits // bands)
+        probes = sum(comb(width, k) for k in range(radius // bands + 1))
+        return bands * probes * (1 + n / 2**width) if probes <= MOST_PROBES else inf
+
+    return min(range(1, min(bits, 2 * radius + 1) + 1), key=lambda b: (cost(b), b))
+
+
+def hamming_pairs(hashes: DataFrame, key: str, hash_col: str, radius: int, bits: int = 60, blocks: tuple[str, ...] = (), bands: int | None = None) -> DataFrame:
     """(key_a, key_b, distance, blocks...) for keys whose hashes differ in at most ``radius`` bits, key_a < key_b.
 
-    ``key`` must be unique. Rows with a null hash or a null block never match.
+    ``key`` must be unique. Rows with a null hash or a null block never match. The number
+    of bands follows from the number of hashes unless it is given; the pairs don't.
     """
+    if bands is None:
+        hashes = cut(hashes.select(key, hash_col, *blocks), "hashes")
+        bands = choose_bands(hashes.count(), bits, radius)
     width = -(-bits // bands)
     near = radius // bands
 
@@ -38,7 +58,7 @@ def hamming_pairs(hashes: DataFrame, key: str, hash_col: str, radius: int, bits:
 
     base = hashes.select(F.col(key).alias("k"), F.col(hash_col).cast("long").alias("h"), *blocks).where(F.col("h").isNotNull())
     indexed = base.select("k", "h", *blocks, F.posexplode(F.array(*(band(F.col("h"), k) for k in range(bands)))).alias("band", "value"))
-    masks = F.array(*(F.lit(m).cast("long") for m in _masks(width, near)))
+    masks = F.from_json(F.lit(str(_masks(width, near))), "array<bigint>")
     probing = indexed.withColumn("value", F.explode(F.transform(masks, lambda m: F.col("value").bitwiseXOR(m))))
     a, b = probing.alias("a"), indexed.alias("b")
     on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*blocks, "band", "value")]
@@ -133,7 +153,7 @@ def verification_pairs(records: DataFrame, o: DuplicateOptions, most: int = 15_0
     on; plausible geometry; not equal by content; and either far enough by pHash to be in
     doubt or near by colour. The limit is the feature: it caps calls to a verifier.
     """
-    items = cut(with_blocks(records.where("phash is not null"), o), "hashed")
+    items = cut(with_blocks(records, o), "records").where("phash is not null")  # filtered behind the cut: a hash that is computed is computed once
     near = hamming_pairs(items, "id", "phash", o.verify_most, bits, ("bw", "bh")).select("key_a", "key_b")
     if o.semantic:
         near = near.unionByName(hamming_pairs(items, "id", "colorhash", min(o.color_radius, color_bits), color_bits, ("bw", "bh"), bands=2).select("key_a", "key_b")).distinct()

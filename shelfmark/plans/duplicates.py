@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.functions.hashing import dimension_block, from_hex, hamming, sign_bits, simhash
+from shelfmark.functions.hashing import dimension_block, from_hex, hamming, sign_bits, simhash, simhash_of
 from shelfmark.operators import groups as G
 from shelfmark.operators import similarity as S
 from shelfmark.plans.presets import duplicate_options
+from shelfmark.scratch import cut
 from shelfmark.sources.tables import table
 
 BITS = 60
@@ -32,10 +33,8 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = files(spark, sf_dir)
-    h = simhash(f, "id", "text", BITS)
-    joined = f.drop("text").join(h, "id").withColumnRenamed("simhash", "phash")
-    return joined.select(
+    hashed = files(spark, sf_dir).withColumn("phash", simhash_of(F.col("text"), BITS)).drop("text")
+    return hashed.select(
         "*",
         F.when(F.col("id") % 4 != 0, F.shiftrightunsigned("phash", 20)).alias("dhash"),
         F.col("phash").bitwiseAND(F.lit(0xFFF)).alias("colorhash"),
@@ -126,7 +125,7 @@ def dup_verify_pairs(spark, sf_dir):
 
 
 def dup_verified_groups(spark, sf_dir):
-    s = signatures(spark, sf_dir)
+    s = cut(signatures(spark, sf_dir), "signatures")
     pairs = S.verification_pairs(s, duplicate_options("strict"), bits=BITS)
     paths = s.select("id", "path")
     named = pairs.join(paths.select(F.col("id").alias("id_a"), F.col("path").alias("path_a")), "id_a").join(paths.select(F.col("id").alias("id_b"), F.col("path").alias("path_b")), "id_b")

@@ -100,12 +100,12 @@ def json_replies(spark, sf_dir):
 
 
 def json_extract(spark, sf_dir):
-    obj = replies.json_object(F.col("raw"))
+    obj = replies.fields(replies.json_object(F.col("raw")))
     return json_replies(spark, sf_dir).select("event_id", obj.isNotNull().alias("is_object"), replies.primary_label(obj).alias("label"))
 
 
 def json_candidates(spark, sf_dir):
-    obj = replies.json_object(F.col("raw"))
+    obj = replies.fields(replies.json_object(F.col("raw")))
     return json_replies(spark, sf_dir).select("event_id", F.array_join(F.when(obj.isNotNull(), replies.candidate_names(obj)).otherwise(F.array().cast("array<string>")), "|").alias("names"), F.round(F.when(obj.isNotNull(), replies.margin(obj)).otherwise(1.0), 6).alias("margin"))
 
 
