@@ -74,13 +74,13 @@ def drop_lines(
     host = F.col(host) if isinstance(host, str) else host
     found = cut(boilerplate(docs, host, F.col(text_col), ratio, min_pages), "boilerplate")
     size = found.agg(F.coalesce(F.sum(8 * F.size("known") + 64), F.lit(0))).first()[0]
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), _host(host).alias("host"))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = docs.select(row.alias("row"), _host(host).alias("host"), _keys(_host(host), F.col(f"`{text_col}`")).alias("keys"))
     marked = rows.join(F.broadcast(found) if size <= broadcast_bytes else found.hint("merge"), "host", "left")
 
     text = F.col("row")[text_col]
-    keys = _keys(F.col("host"), text)
-    drop = F.when(F.col("known").isNotNull(), F.array_intersect(F.array_compact(keys), F.col("known")))
-    with_keys = marked.select("row", drop.alias("drop"), F.when(F.col("known").isNotNull(), keys).alias("keys"), F.size(F.array_compact(keys)).alias("n_lines"))
+    drop = F.when(F.col("known").isNotNull(), F.array_intersect("keys", "known"))
+    with_keys = marked.select("row", drop.alias("drop"), "keys", F.size(F.array_compact("keys")).alias("n_lines"))
     some = F.coalesce(F.size("drop") > 0, F.lit(False))
     gone = lambda k: F.coalesce(F.array_contains(F.col("drop"), k), F.lit(False))
     pairs = F.arrays_zip(_lines(text).alias("line"), F.col("keys").alias("key"))
