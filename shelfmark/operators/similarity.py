@@ -27,7 +27,8 @@ MOST_PROBES = 20_000
 
 
 def _masks(width: int, radius: int) -> list[int]:
-    return [sum(1 << b for b in bits) for k in range(radius + 1) for bits in combinations(range(width), k)]
+    masks = (sum(1 << b for b in bits) for k in range(radius + 1) for bits in combinations(range(width), k))
+    return [m - (1 << 64) if m >> 63 else m for m in masks]  # as signed longs
 
 
 def choose_bands(n: int, bits: int, radius: int) -> int:
@@ -54,7 +55,7 @@ def hamming_pairs(hashes: DataFrame, key: str, hash_col: str, radius: int, bits:
     near = radius // bands
 
     def band(h: Column, k: int) -> Column:
-        return F.shiftrightunsigned(h, k * width).bitwiseAND(F.lit((1 << min(width, 64 - k * width)) - 1))
+        return F.shiftrightunsigned(h, k * width).bitwiseAND(F.lit((1 << min(width, 64 - k * width)) - 1)) if width < 64 else h
 
     base = hashes.select(F.col(key).alias("k"), F.col(hash_col).cast("long").alias("h"), *blocks).where(F.col("h").isNotNull())
     indexed = base.select("k", "h", *blocks, F.posexplode(F.array(*(band(F.col("h"), k) for k in range(bands)))).alias("band", "value"))
