@@ -20,7 +20,7 @@ def destinations(plan: DataFrame, existing: DataFrame | None = None) -> DataFram
     """Adds ``dest`` (dest_dir/name, or stem_n.ext) to rows of source, dest_dir, name, sha256.
 
     ``existing`` has the dest_dir, name and sha256 of files that are there already. Names
-    compare case aside. Equal content shares one destination, and content that is there
+    compare case aside. Equal content shares one destination (each row spells it its way), and content that is there
     under the name or a numbered form of it is not copied again; a file without a digest
     is its own content. A free name goes to the content of its least source; every other
     content gets, in order of its least source, the next number that no file in the folder
@@ -28,7 +28,7 @@ def destinations(plan: DataFrame, existing: DataFrame | None = None) -> DataFram
     """
     content = F.coalesce(F.col("sha256"), F.concat(F.lit("path:"), F.col("source")))
     keyed = plan.withColumn("_c", content).withColumn("_low", F.lower("name"))
-    first = cut(keyed.groupBy("dest_dir", "_low", "_c").agg(F.min("source").alias("_first"), F.min("name").alias("_name")), "contents")
+    first = cut(keyed.groupBy("dest_dir", "_low", "_c").agg(F.min("source").alias("_first")), "contents")
     there = plan.sparkSession.createDataFrame([], "dest_dir string, name string, sha256 string") if existing is None else existing
     there = cut(there.select("dest_dir", "name", F.lower("name").alias("_low"), "sha256"), "existing")
 
@@ -54,10 +54,10 @@ def destinations(plan: DataFrame, existing: DataFrame | None = None) -> DataFram
     free = F.col("_k") + F.when(F.col("_taken").isNotNull(), below).otherwise(0)
     given = cut(waiting.select("dest_dir", "_low", "_c", free.alias("_n")), "numbers")
 
-    out = keyed.join(marked.select("dest_dir", "_low", "_c", "_held", "_name"), ["dest_dir", "_low", "_c"]).join(given, ["dest_dir", "_low", "_c"], "left")
-    stem, ext = _stem_and_ext(F.col("_name"))
-    name = F.when(F.col("_held").isNotNull(), F.col("_held")).when(F.col("_n").isNull(), F.col("_name")).otherwise(F.concat(stem, F.lit("_"), F.col("_n").cast("string"), ext))
-    return out.withColumn("dest", F.concat_ws("/", "dest_dir", name)).drop("_c", "_low", "_n", "_held", "_name")
+    out = keyed.join(marked.select("dest_dir", "_low", "_c", "_held"), ["dest_dir", "_low", "_c"]).join(given, ["dest_dir", "_low", "_c"], "left")
+    stem, ext = _stem_and_ext(F.col("name"))
+    name = F.when(F.col("_held").isNotNull(), F.col("_held")).when(F.col("_n").isNull(), F.col("name")).otherwise(F.concat(stem, F.lit("_"), F.col("_n").cast("string"), ext))
+    return out.withColumn("dest", F.concat_ws("/", "dest_dir", name)).drop("_c", "_low", "_n", "_held")
 
 
 def space_guard(files: DataFrame, order: str, size: str, free: int, margin: int = MARGIN) -> DataFrame:

@@ -311,7 +311,7 @@ SQL = {
     "snk_unique_names": """WITH p AS (SELECT p_brand AS dest_dir, lower('img' || CASE WHEN p_size % 4 > 0 THEN '_' || (p_size % 4) ELSE '' END || CASE WHEN p_size % 3 = 0 THEN '' ELSE '.jpg' END) AS low, CASE WHEN p_partkey % 9 <> 0 THEN sha256(p_type || p_size) ELSE 'path:' || p_partkey END AS c FROM part)
       SELECT dest_dir, count(*) AS files, count(DISTINCT (c, low)) AS named_contents, 0::BIGINT AS overwritten FROM p GROUP BY dest_dir""",
     "snk_names_of_empty_folders": """WITH p AS (SELECT 'src/' || lpad(p_partkey::VARCHAR, 9, '0') AS source, p_brand AS d, (CASE WHEN p_partkey % 2 = 0 THEN 'IMG' ELSE 'img' END) || CASE WHEN p_size % 4 > 0 THEN 'x' ELSE '' END AS stem, CASE WHEN p_size % 3 = 0 THEN '' ELSE '.jpg' END AS ext, CASE WHEN p_partkey % 9 <> 0 THEN sha256(p_type || p_size) ELSE 'path:' || p_partkey END AS c FROM part),
-      f AS (SELECT d, lower(stem || ext) AS low, c, min(source) AS first, min(stem || ext) AS name FROM p GROUP BY 1, 2, 3), n AS (SELECT *, row_number() OVER (PARTITION BY d, low ORDER BY first, c) - 1 AS n FROM f)
-      SELECT source, p.d || '/' || CASE WHEN n = 0 THEN name WHEN ext = '' THEN name || '_' || n ELSE substr(name, 1, length(name) - 4) || '_' || n || '.jpg' END AS dest FROM p JOIN n ON n.d = p.d AND n.low = lower(stem || ext) AND n.c = p.c""",
+      f AS (SELECT d, lower(stem || ext) AS low, c, min(source) AS first FROM p GROUP BY 1, 2, 3), n AS (SELECT *, row_number() OVER (PARTITION BY d, low ORDER BY first, c) - 1 AS n FROM f)
+      SELECT source, p.d || '/' || stem || CASE WHEN n = 0 THEN '' ELSE '_' || n END || ext AS dest FROM p JOIN n ON n.d = p.d AND n.low = lower(stem || ext) AND n.c = p.c""",
     "snk_space_guard": "WITH r AS (SELECT o_orderkey, sum(floor(o_totalprice)::BIGINT) OVER (ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING)::BIGINT AS running FROM orders) SELECT o_orderkey, running, running + 67108864 <= 300000000 AS fits FROM r",
 }
