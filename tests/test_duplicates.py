@@ -103,3 +103,63 @@ def test_size_filter_prunes_columns(spark, tmp_path):
     spark.range(10).select((F.col("id") % 4).alias("size"), F.col("id").alias("path"), F.lit("x").alias("content")).write.parquet(str(tmp_path / "t"))
     plan = G.size_candidates(spark.read.parquet(str(tmp_path / "t"))).select("path")._jdf.queryExecution().executedPlan().toString()
     assert "content" not in plan
+
+
+def shuffled_rows(frame):
+    """Rows that the exchanges of a collected frame's plan wrote."""
+
+    def walk(node):
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return walk(node.plan())
+        own = node.metrics().apply("shuffleRecordsWritten").value() if kind == "ShuffleExchangeExec" else 0
+        return own + sum(walk(node.children().apply(k)) for k in range(node.children().size()))
+
+    return walk(frame._jdf.queryExecution().executedPlan())
+
+
+def test_probed_values_are_not_shuffled(spark):
+    rng = random.Random(8)
+    hashes = [rng.getrandbits(60) for _ in range(300)]
+    hashes += [h ^ (1 << rng.randrange(60)) ^ (1 << rng.randrange(60)) for h in hashes[:40]]
+    rows = [(i, h, 0) for i, h in enumerate(hashes)]
+    found = S.hamming_pairs(spark.createDataFrame(rows, "k long, h long, b int"), "k", "h", 10, 60, ("b",))
+    got = {(r.key_a, r.key_b, r.distance) for r in found.collect()}
+    assert got == {(i, j, d) for i, a in enumerate(hashes) for j, b in enumerate(hashes) if i < j and (d := (a ^ b).bit_count()) <= 10}
+    assert shuffled_rows(found) <= 2 * len(hashes)
+
+
+@pytest.mark.parametrize("bands", [None, 3])
+def test_parts_of_a_block_meet_once(spark, monkeypatch, bands):
+    rng = random.Random(9)
+    hashes = [rng.getrandbits(24) for _ in range(200)]
+    rows = [(i, h, "xyz"[i % 3] if i % 7 else None) for i, h in enumerate(hashes)]
+    monkeypatch.setattr(S, "PART", 4)
+    found = S.hamming_pairs(spark.createDataFrame(rows, "k long, h long, b string"), "k", "h", 6, 24, ("b",), bands).collect()
+    wanted = [(i, j, d, rows[i][2]) for i, a in enumerate(hashes) for j, b in enumerate(hashes) if i < j and rows[i][2] and rows[i][2] == rows[j][2] and (d := (a ^ b).bit_count()) <= 6]
+    assert sorted((r.key_a, r.key_b, r.distance, r.b) for r in found) == sorted(wanted)
+
+
+@pytest.mark.parametrize(("preset", "most", "part"), [("deep", 500, 16), ("deep", 10**6, 4096), ("strict", 10**6, 16), ("strict", 37, 4096)])
+def test_verification_pairs_are_the_first_of_all(spark, monkeypatch, preset, most, part):
+    rng = random.Random(10)
+    o = duplicate_options(preset)
+    facts = [(i, rng.choice([None, 0, 64, 70, 90]), rng.choice([64, 90]), rng.choice([None, *map(str, range(9))]), rng.getrandbits(20), rng.choice([None, rng.getrandbits(12)])) for i in rng.sample(range(10**6), 160)]
+    rows = [(i, f"p/{i}", f"p/{i}", 1, 1, w, h, sha, p, None, c, None) for i, w, h, sha, p, c in facts]
+
+    def pair(a, b):
+        far = (a[4] ^ b[4]).bit_count()
+        known = all((a[1], a[2], b[1], b[2]))
+        areas, shapes = (a[1] * a[2], b[1] * b[2]) if known else (1, 1), (a[1] / a[2], b[1] / b[2]) if known else (1, 1)
+        near = o.semantic and None not in (a[5], b[5]) and (a[5] ^ b[5]).bit_count() <= o.color_radius
+        blocks = [(((x[1] or -1) // 32), x[2] // 32) for x in (a, b)]
+        good = blocks[0] == blocks[1] and max(areas) / min(areas) <= 3.5 and max(shapes) / min(shapes) <= 2 and (a[3] is None or a[3] != b[3])
+        return (*blocks[0], a[0], b[0], far) if good and (near or o.verify_least <= far <= o.verify_most) else None
+
+    wanted = sorted(p for a in facts for b in facts if a[0] < b[0] and (p := pair(a, b)))[:most]
+    monkeypatch.setattr(S, "PART", part)
+    found = S.verification_pairs(spark.createDataFrame(rows, RECORD), o, most)
+    assert [tuple(r) for r in found.collect()] == wanted
+    assert shuffled_rows(found) < 10 * len(rows)
