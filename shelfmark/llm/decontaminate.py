@@ -30,9 +30,11 @@ EDIT_RATE = 0.08
 #: Characters of items that go to the executors at once; larger benchmarks take several passes.
 BLOCK_CHARS = 4_000_000
 #: Normalised characters of documents searched at once.
-CHUNK_CHARS = 3_000_000
+CHUNK_CHARS = 500_000
+#: Rows of documents that are kept or left out at once.
+SLICE_ROWS = 1000
 #: Pairs of a text's q-gram and an item's equal one that are held at once.
-MOST_PAIRS = 2_000_000
+MOST_PAIRS = 250_000
 
 SCHEMA = "doc_id long, item_id long, start long, end long, edits int"
 _SPACE, _STOP = np.uint32(32), np.uint32(1)
@@ -305,15 +307,20 @@ def clean_documents(
     have any names. No shuffle: each block of items is one pass that leaves out the rows
     it finds, and of several blocks each reads what the one before left.
     """
-    left = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).cast("string").alias("text"))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    # a text that is a column as it stands is read from the row, so that a batch holds it once
+    at = docs.columns.index(text_col) if dict(docs.dtypes).get(text_col) == "string" else None
+    left = docs.select(row) if at is not None else docs.select(row, F.col(text_col).cast("string").alias("text"))
     schema = left.schema
     for number, block in enumerate(_blocks(benchmark, item_col, item_text_col)):
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             index = Index(block, q, rate)
             for batch in batches:
-                hit = {row for row, *_ in search(index, enumerate(t.as_py() for t in batch.column(1)))}
-                yield batch.filter(pa.array([k not in hit for k in range(batch.num_rows)], pa.bool_()))
+                for part in (batch.slice(k, SLICE_ROWS) for k in range(0, batch.num_rows, SLICE_ROWS)):
+                    texts = part.column(1) if at is None else part.column(0).field(at)
+                    hit = {row for row, *_ in search(index, enumerate(t.as_py() for t in texts))}
+                    yield part.filter(pa.array([k not in hit for k in range(part.num_rows)], pa.bool_()))
 
         left = (cut(left, "pass") if number else left).mapInArrow(run, schema)
     return left.select("row.*")

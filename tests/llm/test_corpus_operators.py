@@ -5,6 +5,7 @@ import hashlib
 import os
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -978,3 +979,26 @@ def test_contract_hashes(spark, tmp_path):
     assert (got[1].n_turns, got[1].turns_sha256, got[1].loss_chars, got[1].loss_sha256) == (2, sha("user\na\nassistant\nb\n"), 1, sha("b"))
     assert (got[2].turns_sha256, got[2].loss_sha256) == (sha("user\n\n"), sha(""))
     assert (got[-7].turns_sha256, got[-7].loss_chars, got[-7].loss_sha256) == (sha(f"user\n{said}\nassistant\n{said}\n"), len(said), sha(said))
+
+
+def test_a_search_holds_few_texts_at_once():
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(2000)]
+    item = " ".join(words[:30])
+    docs = [(i, " ".join(rng.choices(words, k=300)) + (f" {item}" if i % 100 == 0 else "")) for i in range(1500)]
+    index = decontaminate.Index([(1, item)], decontaminate.Q, decontaminate.EDIT_RATE)
+    decontaminate.normalise("warm")
+    tracemalloc.start()
+    found = decontaminate.search(index, docs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted({d for d, *_ in found}) == list(range(0, 1500, 100))
+    assert peak < 50_000_000
+
+
+def test_slices_of_a_batch_keep_their_own_rows(spark):
+    item = "a passage of the benchmark that is long enough to be found"
+    rows = [(i, f"{i} {item}" if i % 7 == 0 else f"clean text {i}" if i % 5 else None) for i in range(2500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    kept = decontaminate.clean_documents(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted(tuple(r) for r in kept.collect()) == [r for r in rows if r[0] % 7]
