@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -163,3 +164,55 @@ def test_verification_pairs_are_the_first_of_all(spark, monkeypatch, preset, mos
     found = S.verification_pairs(spark.createDataFrame(rows, RECORD), o, most)
     assert [tuple(r) for r in found.collect()] == wanted
     assert shuffled_rows(found) < 10 * len(rows)
+
+
+@pytest.mark.parametrize("part", [4, 4096])
+def test_perceptual_components_are_those_of_all_matches(spark, monkeypatch, part):
+    rng = random.Random(11)
+    o = duplicate_options("balanced", frame_mean=6)
+    base, films = [rng.getrandbits(64) for _ in range(14)], [[rng.getrandbits(64) for _ in range(3)] for _ in range(5)]
+
+    def near(h, most):
+        h ^= sum(1 << b for b in rng.sample(range(64), rng.randrange(most)))
+        return h - (1 << 64) if h >= 1 << 63 else h
+
+    rows = []
+    for i in rng.sample(range(10**6), 220):
+        frames = rng.choice([None, None, None, [], [near(rng.choice(base), 9)], [near(h, 9) for h in rng.choice(films)[: rng.randrange(1, 4)]], [0, *(near(h, 9) for h in rng.choice(films))], [0, near(rng.choice(films)[1], 5), None]])
+        rows.append(record(i, phash=rng.choice([None, *(near(rng.choice(base), 9) for _ in range(6))]), dhash=rng.choice([None, near(base[0], 16)]), frames=frames, w=rng.choice([None, 0, 64, 73, 82]), h=rng.choice([2, 20]), size=i))
+    rows += [record(10**7 + k, *rows[k][7:10], frames=rows[k][11], w=rows[k][5], h=rows[k][6]) for k in range(20)]
+    records = spark.createDataFrame(rows, RECORD)
+    a, b = (S.with_blocks(records, o).alias(x) for x in "ab")
+    matches = a.join(b, (F.col("a.bw") == F.col("b.bw")) & (F.col("a.bh") == F.col("b.bh")) & (F.col("a.id") < F.col("b.id"))).where(S.perceptual_match("a", "b", o)).select("a.id", "b.id").collect()
+    monkeypatch.setattr(S, "PART", part)
+    found = S.perceptual_edges(records, o, 64).collect()
+    alike = [(x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and x[5:7] == y[5:7] and x[8:] == y[8:] and (x[8] is not None or len(x[11] or []) > 1)]  # equal in every visual fact
+    assert len(matches) > 100
+    assert brute_components([(r.src, r.dst) for r in found]) == brute_components([tuple(m) for m in matches] + alike)
+
+
+@pytest.mark.parametrize("film", [False, True])
+def test_edges_of_a_cluster_follow_its_records(spark, film):
+    rng = random.Random(12)
+    hashes = rng.sample(range(1 << 8), 200)  # any two match, and films share a black frame too
+    rows = [record(i, phash=h, frames=[0, h] if film else None) for i, h in enumerate(hashes)]
+    found = S.perceptual_edges(spark.createDataFrame(rows, RECORD), duplicate_options("balanced"), 60)
+    edges = [(r.src, r.dst) for r in found.collect()]
+    assert brute_components(edges) == dict.fromkeys(range(200), 0)
+    assert len(edges) == 199
+    assert shuffled_rows(found) <= 10 * len(rows)
+
+
+@pytest.mark.parametrize("bands", [None, 1, 4])
+@pytest.mark.parametrize("most", [7, 1 << 16])
+def test_only_joined_pairs_are_left_out(monkeypatch, bands, most):
+    monkeypatch.setattr(S, "MOST_LINKED", most)
+    rng = random.Random(13)
+    base = [rng.getrandbits(24) for _ in range(12)]
+    codes = np.array([rng.choice(base[:1] * 20 + base) ^ (1 << rng.randrange(24)) ^ (1 << rng.randrange(24)) for _ in range(300)], np.uint64)
+    left, right, root = np.arange(0, 300, 2), np.arange(1, 300, 2), np.arange(300)
+    for x, y in S._few(S._near(codes[left], codes[right], 3, 24, bands, (root, left, right))):
+        S._link(root, left[x], right[y])
+    wanted = brute_components([(int(i), int(j)) for i in left for j in right if int(codes[i] ^ codes[j]).bit_count() <= 3])
+    assert {i: int(r) for i, r in enumerate(root)} == {i: wanted.get(i, i) for i in range(300)}
+    assert len(set(wanted.values())) > 5
